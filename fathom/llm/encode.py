@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fathom.session import write_shared_file
+from fathom.session import materialize, write_shared_file
 
 #: White space as the tokenizer's own pattern has it (the Unicode property), which Python's ``\s`` is not.
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -242,9 +242,18 @@ def count_words(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame, size: int) -> list[str]:
-    """The most frequent words, at most ``size`` of them: the bound of what comes to the driver."""
-    top = counts.where(F.col("n") > 1).orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in top.select("word").collect()]
+    """The words over the least count that no more than ``size`` words reach: the bound of what comes to the driver.
+
+    The count is found from a histogram of counts (16 steps to a doubling), so that no task
+    sends a list of its own.
+    """
+    counts = materialize(counts.where(F.col("n") > 1).withColumn("step", F.floor(F.log2("n") * 16).cast("int")), "word-counts")
+    least, total = None, 0
+    for step, n in counts.groupBy("step").count().orderBy(F.desc("step")).collect():
+        if total + n > size:
+            break
+        least, total = step, total + n
+    return [] if least is None else [r.word for r in counts.where(F.col("step") >= least).select("word").collect()]
 
 
 def build_lexicon(spark: SparkSession, words: Sequence[str], vocabulary: str, pattern: str) -> str:

@@ -31,8 +31,34 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", pattern)
 
 
+def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathom.llm.leak import leaked_windows
+
+    return leaked_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_windows(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathom.llm.leak import leaked_items
+
+    return leaked_items(p7_windows(spark, sf_dir))
+
+
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathom.llm.quality import rate_documents
+
+    return rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_stats(spark, sf_dir).where("text_type = 'other'").select("doc_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p6_ids, p7_found, p7_leaks, p8_found, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
