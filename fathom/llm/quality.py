@@ -34,8 +34,8 @@ START = 0.8
 _ENDS = np.array([ord(c) for c in ".!?…"], np.uint32)
 _WIDE_ENDS = np.array([ord(c) for c in "。！？"], np.uint32)
 _CLOSERS = np.array([ord(c) for c in "\"')]”’»」』*"], np.uint32)
-_SOFT = np.array([ord(c) for c in ".,;:!?'’\"“”«»()-–—…。、！？「」%"], np.uint32)
-_MARKS = np.array([ord(c) for c in "|{}[]<>=#\\^~`_•›§$&@¤*/+"], np.uint32)
+_SOFT = np.array([ord(c) for c in ".,;:!?'’\"“”«»()-–—…。、！？「」%*_"], np.uint32)
+_MARKS = np.array([ord(c) for c in "|{}[]<>=#\\^~`•›§$&@¤/+"], np.uint32)
 
 STATS = T.StructType(
     [
@@ -55,9 +55,8 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(a, b, out=np.zeros(len(a)), where=b > 0)
 
 
-def _vote(value: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+def _vote(yes: np.ndarray, no: np.ndarray) -> np.ndarray:
     """2 prose, 1 not prose, 0 nothing."""
-    del value
     return np.where(yes, 2, np.where(no, 1, 0)).astype(np.int32)
 
 
@@ -146,15 +145,15 @@ def rate_block(texts: list[str | None], common: kernel.HashSet) -> dict[str, lis
     size = np.where(japanese, letters / 2.5, seg_words)
     long_word = _ratio(letters + digits, seg_words)
     votes = [
-        _vote(share, ~japanese & (share >= 0.15), ~japanese & (share < 0.09)),
-        _vote(kana_ratio, japanese & (kana_ratio >= 0.25), japanese & (kana_ratio < 0.15)),
-        _vote(ends, ends, ~ends),
-        _vote(hard_ratio, hard_ratio < 0.03, hard_ratio > 0.08),
-        _vote(digit_ratio, digit_ratio < 0.12, digit_ratio > 0.2),
-        _vote(size, (size >= 6) & (size <= 45), (size < 4) | (size > 70)),
-        _vote(repeated, np.zeros(m, bool), repeated > 0.5 * chars),
-        _vote(per_line, ~japanese & (per_line >= 7), ~japanese & (per_line < 3.5)),
-        _vote(marks, (marks == 0) & (japanese | (long_word < 9)), (marks > 0.04 * chars) | (~japanese & (long_word > 14))),
+        _vote(~japanese & (share >= 0.15), ~japanese & (share < 0.09)),
+        _vote(japanese & (kana_ratio >= 0.25), japanese & (kana_ratio < 0.15)),
+        _vote(ends, ~ends),
+        _vote(hard_ratio < 0.03, hard_ratio > 0.08),
+        _vote(digit_ratio < 0.12, digit_ratio > 0.2),
+        _vote((size >= 6) & (size <= 45), (size < 4) | (size > 70)),
+        _vote(np.zeros(m, bool), repeated > 0.5 * chars),
+        _vote(~japanese & (per_line >= 7), ~japanese & (per_line < 3.5)),
+        _vote((marks == 0) & (japanese | (long_word < 9)), (marks > 0.04 * chars) | (~japanese & (long_word > 14))),
     ]
     pattern = np.zeros(m, np.int32)
     for v in votes:
