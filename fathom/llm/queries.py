@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZERS = os.environ.get("FATHOM_TOKENIZERS", "/opt/tokenizers")
 
@@ -57,8 +58,22 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_stats(spark, sf_dir).where("text_type = 'other'").select("doc_id")
 
 
+def _near_duplicates(spark: SparkSession, sf_dir: str):
+    from fathom.llm.neardup import NearDuplicates
+
+    return NearDuplicates(table(spark, sf_dir, "chunks"), shingle=3, threshold=0.6, min_words=15)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_duplicates(spark, sf_dir).pairs().select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_duplicates(spark, sf_dir).groups().withColumnRenamed("id", "chunk_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p6_ids, p7_found, p7_leaks, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_groups, p6_ids, p7_found, p7_leaks, p8_found, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
