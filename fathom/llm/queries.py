@@ -58,6 +58,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_stats(spark, sf_dir).where("text_type = 'other'").select("doc_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathom.llm.knn import VectorIndex, linked_pairs
+
+    near = VectorIndex(table(spark, sf_dir, "chunks")).similar(k=5, least=0.9)
+    return linked_pairs(near).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest chunks of every chunk whose id is divisible by 20, against all chunks."""
+    from fathom.llm.knn import VectorIndex
+
+    index = VectorIndex(table(spark, sf_dir, "chunks"))
+    return index.search(index.all.where("id % 20 = 0").select("id", "vector"), k=5)
+
+
 def _near_duplicates(spark: SparkSession, sf_dir: str):
     from fathom.llm.neardup import NearDuplicates
 
@@ -73,7 +88,7 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_groups, p6_ids, p7_found, p7_leaks, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p4_found, p4_groups, p6_ids, p7_found, p7_leaks, p8_found, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
