@@ -28,6 +28,8 @@ from fathom.session import materialize
 
 #: Rows that the codebooks are fitted on, at most.
 FIT_ROWS = 1 << 15
+#: Rows of the sample that are encoded at once on the driver.
+FIT_STEP = 2048
 #: Residual codebooks and their codewords, beams of the encoder.
 BOOKS, WORDS, BEAMS = 6, 256, 4
 #: Vectors of a list, on average; lists of one level, at most; vectors and queries of one task's block, at most.
@@ -57,7 +59,8 @@ def beam_encode(x: np.ndarray, books: list[np.ndarray], beams: int) -> tuple[np.
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
     centre = x[rng.choice(len(x), k, len(x) < k)].copy()
     for _ in range(rounds):
-        near = (x @ centre.T - 0.5 * (centre * centre).sum(1)).argmax(1)
+        half = 0.5 * (centre * centre).sum(1)
+        near = np.concatenate([(x[at : at + FIT_STEP] @ centre.T - half).argmax(1) for at in range(0, len(x), FIT_STEP)])
         order = np.argsort(near, kind="stable")
         count = np.bincount(near, minlength=k)
         full = np.flatnonzero(count)
@@ -66,6 +69,12 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) ->
     return centre
 
 
+def encode_steps(x: np.ndarray, books: list[np.ndarray], beams: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best codes and their residuals, in steps of bounded memory."""
+    parts = [[a[:, 0] for a in beam_encode(x[at : at + FIT_STEP], books, beams)] for at in range(0, len(x), FIT_STEP)]
+    return np.concatenate([c for c, _ in parts]), np.concatenate([r for _, r in parts])
+
+
 @dataclass
 class Codebooks:
     """``books[0]`` has the lists' centres; the first ``depth`` codes name a list."""
@@ -79,16 +88,19 @@ class Codebooks:
         lists = int(np.clip(total // LIST_ROWS, 1, MAX_LISTS))
         books = [kmeans(x, lists, rng)]
         for _ in range(BOOKS):
-            books.append(kmeans(beam_encode(x, books, 1)[1][:, 0], WORDS, rng, 5))
+            books.append(kmeans(encode_steps(x, books, 1)[1], WORDS, rng, 5))
         # joint least squares of the residual codebooks; the lists' centres stay
         for _ in range(2):
-            codes = beam_encode(x, books, BEAMS)[0][:, 0]
+            codes = encode_steps(x, books, BEAMS)[0]
             target = x - books[0][codes[:, 0]]
             place = codes[:, 1:] + np.arange(BOOKS) * WORDS
-            hot = np.zeros((len(x), BOOKS * WORDS), np.float32)
-            np.put_along_axis(hot, place, 1.0, 1)
-            gram = (hot.T @ hot).astype(np.float64) + 0.5 * np.eye(BOOKS * WORDS)
-            solved = np.linalg.solve(gram, (hot.T @ target).astype(np.float64) + 0.5 * np.concatenate(books[1:]))
+            gram, pull = 0.5 * np.eye(BOOKS * WORDS), 0.5 * np.concatenate(books[1:]).astype(np.float64)
+            for at in range(0, len(x), FIT_STEP):
+                hot = np.zeros((len(place[at : at + FIT_STEP]), BOOKS * WORDS), np.float32)
+                np.put_along_axis(hot, place[at : at + FIT_STEP], 1.0, 1)
+                gram += hot.T @ hot
+                pull += hot.T @ target[at : at + FIT_STEP]
+            solved = np.linalg.solve(gram, pull)
             books = [books[0], *np.split(solved.astype(np.float32), BOOKS)]
         return cls(books, 1 if total <= 4 * MAX_LISTS * LIST_ROWS else 2)
 
