@@ -24,6 +24,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("piece_index = 0").select("chunk_id")
 
 
+def p5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathom.llm.lines import repeated_lines
+
+    prose = table(spark, sf_dir, "chunks").where("chunk_type = 'prose'")
+    return repeated_lines(prose, table(spark, sf_dir, "documents")).withColumnRenamed("id", "chunk_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # lines of a cluster are near-duplicates; the case asked for is the very same line
+    return p5_lines(spark, sf_dir).where("line_documents >= 5").select("chunk_id", "line_no").distinct()
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathom.llm.lines import without_repeated
+
+    chunks = table(spark, sf_dir, "chunks")
+    return without_repeated(chunks.select("chunk_id", "text"), p5_lines(spark, sf_dir).withColumnRenamed("chunk_id", "id"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fathom.llm.encode import encode_corpus
 
@@ -88,11 +107,26 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p4_found, p4_groups, p6_ids, p7_found, p7_leaks, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p4_found, p4_groups, p5_clean, p5_found, p5_lines, p6_ids, p7_found, p7_leaks, p8_found, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": r"""
+            WITH prose AS (
+                SELECT c.chunk_id, c.document_id, d.service_name || '' AS source, string_split(c.text, chr(10)) AS parts
+                FROM chunks c JOIN documents d ON d.doc_id = c.document_id
+                WHERE c.chunk_type = 'prose' AND d.service_name IS NOT NULL AND c.text IS NOT NULL
+            ), split AS (
+                SELECT chunk_id, document_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS line_no FROM prose
+            ), lines AS (
+                SELECT chunk_id, document_id, source, line_no, regexp_replace(lower(line), '[^\p{L}]', '', 'g') AS letters FROM split
+            ), often AS (
+                SELECT list({'chunk_id': chunk_id, 'line_no': line_no}) AS places FROM lines WHERE length(letters) >= 12
+                GROUP BY source, letters HAVING count(DISTINCT document_id) >= 5
+            ), flat AS (SELECT unnest(places) AS place FROM often)
+            SELECT DISTINCT place.chunk_id AS chunk_id, CAST(place.line_no AS INTEGER) AS line_no FROM flat
+        """,
         "p1_found": r"""
             SELECT chunk_id FROM chunks
             WHERE len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s\p{Z}\x{0085}\x0B\x1C-\x1F]')) > 512
