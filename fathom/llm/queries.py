@@ -77,6 +77,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_stats(spark, sf_dir).where("text_type = 'other'").select("doc_id")
 
 
+def p2_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathom.llm.boilerplate import main_blocks
+
+    return main_blocks(table(spark, sf_dir, "crawl_result"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_blocks(spark, sf_dir).select("crawl_id", "block_no")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fathom.llm.knn import VectorIndex, linked_pairs
 
@@ -107,23 +117,23 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p4_found, p4_groups, p5_clean, p5_found, p5_lines, p6_ids, p7_found, p7_leaks, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_blocks, p2_found, p3_found, p3_neighbours, p4_found, p4_groups, p5_clean, p5_found, p5_lines, p6_ids, p7_found, p7_leaks, p8_found, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p5_found": r"""
-            WITH prose AS (
-                SELECT c.chunk_id, c.document_id, d.service_name || '' AS source, string_split(c.text, chr(10)) AS parts
-                FROM chunks c JOIN documents d ON d.doc_id = c.document_id
-                WHERE c.chunk_type = 'prose' AND d.service_name IS NOT NULL AND c.text IS NOT NULL
-            ), split AS (
-                SELECT chunk_id, document_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS line_no FROM prose
+            WITH split AS (
+                SELECT chunk_id, document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+                FROM chunks WHERE chunk_type = 'prose' AND text IS NOT NULL
             ), lines AS (
-                SELECT chunk_id, document_id, source, line_no, regexp_replace(lower(line), '[^\p{L}]', '', 'g') AS letters FROM split
+                SELECT chunk_id, document_id, line_no, regexp_replace(lower(line), '[^\p{L}]', '', 'g') AS letters FROM split
+            ), enough AS (
+                SELECT * FROM lines WHERE length(letters) >= 12
             ), often AS (
-                SELECT list({'chunk_id': chunk_id, 'line_no': line_no}) AS places FROM lines WHERE length(letters) >= 12
-                GROUP BY source, letters HAVING count(DISTINCT document_id) >= 5
+                SELECT list({'chunk_id': chunk_id, 'line_no': line_no}) AS places
+                FROM enough JOIN (SELECT doc_id, service_name FROM documents WHERE service_name IS NOT NULL) d ON doc_id = document_id
+                GROUP BY service_name, letters HAVING count(DISTINCT document_id) >= 5
             ), flat AS (SELECT unnest(places) AS place FROM often)
             SELECT DISTINCT place.chunk_id AS chunk_id, CAST(place.line_no AS INTEGER) AS line_no FROM flat
         """,
