@@ -320,10 +320,11 @@ class Model:
         weights = cls._logistic(sets, rare, rounds, seed)
         # markup that forgets to name a box inside the main part: what looks like chrome to the model that
         # learned from all pages is relabelled, and the model learned again
-        for k, (nodes, slots, label, use) in enumerate(sets):
-            z = np.bincount(nodes, weights=weights[slots], minlength=len(label))
-            sets[k] = (nodes, slots, np.where((label > 0) & (z < -1), 0.0, label), use)
-        weights = cls._logistic(sets, rare, rounds, seed)
+        for _ in range(2):
+            for k, (nodes, slots, label, use) in enumerate(sets):
+                z = np.bincount(nodes, weights=weights[slots], minlength=len(label))
+                sets[k] = (nodes, slots, np.where((label > 0) & (z < 0), 0.0, label), use)
+            weights = cls._logistic(sets, rare, rounds, seed)
         # what a parent's label tells beyond the child's own score, by pseudo-likelihood: for each pair of kinds
         # logit(child) = score + shift + pull * (1 or -1 by the parent's label), with a normal prior on both
         score, label, parent, group = (np.concatenate(x) for x in zip(*((np.bincount(n, weights=weights[s], minlength=len(y))[c], y[c], 2 * y[p] - 1, g) for (n, s, y, _), (c, p, g) in zip(sets, edges))))
