@@ -36,6 +36,8 @@ from fathom.llm import kernel
 TRAIN_PAGES, TRAIN_CHARS = 1500, 20_000
 #: Size of the table of hashed features, and pages processed at once.
 BITS, STEP = 18, 128
+#: A text whose neighbouring words together say chrome by this logarithm is chrome in training, whatever holds it.
+WORDED = -8.0
 
 BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th", "pre", "dt", "dd")
 HOLDERS = ("div", "section", "article", "main", "aside", "nav", "header", "footer", "ul", "ol", "dl", "table", "tr", "body", "form", "blockquote", "figure", "tbody", "thead", "details")
@@ -205,10 +207,14 @@ class Features:
         singles = [own, own * 8 + share, own * 16 + size, own * KINDS + own[up], share_all * 16 + size_all, own * 8 + place, share_all[up] * 256 + size_all[up] * 16 + _bucket(children[up], (2, 4, 8, 16)), own * 2 + ends, own * 64 + share * 10 + size, own[up] * 512 + share_all[up] * 64 + own]
         nodes = [np.arange(n)] * len(singles)
         slots = [self._slot(s.astype(np.uint64) + np.uint64((k + 1) << 32)) for k, s in enumerate(singles)]
+        # the part of the features that are pairs of neighbouring words
+        self.pairs = slice(0, 0)
         if len(w.hash):
             nodes.append(word_node)
             slots.append(self._slot(w.hash + np.uint64(3)))
             follow = np.flatnonzero(word_node[1:] == word_node[:-1])
+            at = sum(map(len, nodes))
+            self.pairs = slice(at, at + len(follow))
             nodes.append(word_node[follow])
             slots.append(self._slot(w.hash[follow] * np.uint64(0x9FB21C651E98DF25) + w.hash[follow + 1]))
             begin = np.flatnonzero(np.concatenate([[True], word_node[1:] != word_node[:-1]]))
@@ -301,7 +307,7 @@ class Model:
     @classmethod
     def fit(cls, pages: list[str], rounds: int = 12, seed: int = 3) -> Model:
         size = 1 << BITS
-        sets, edges = [], []
+        sets, edges, pairs = [], [], []
         for at in range(0, len(pages), STEP):
             f = Forest()
             for p in pages[at : at + STEP]:
@@ -311,6 +317,7 @@ class Model:
                 x = Features(f, named)
                 use = told[x.page] & ((x.chars > 0) | (x.block < 0)) & (x.parent >= 0)
                 sets.append((x.nodes, x.slots, label.astype(float), use))
+                pairs.append(x.pairs)
                 child = np.flatnonzero(use)
                 edges.append((child, x.parent[child], x.plain[x.parent[child]] * KINDS + x.plain[child]))
         seen = np.zeros(size)
@@ -318,12 +325,20 @@ class Model:
             seen += np.bincount(slots[use[nodes]], minlength=size)
         rare = seen < 4  # features of a few nodes would learn them by heart
         weights = cls._logistic(sets, rare, rounds, seed)
-        # markup that forgets to name a box inside the main part: what looks like chrome to the model that
-        # learned from all pages is relabelled, and the model learned again
+        # markup that forgets to name a box inside the main part: what looks like chrome to the model that learned
+        # from all pages, or is worded as chrome nearly always is, is relabelled, and the model learned again
+        yes, no = np.zeros(size), np.zeros(size)
+        for (nodes, slots, label, use), at in zip(sets, pairs):
+            mine = slots[at][use[nodes[at]]]
+            told = label[nodes[at]][use[nodes[at]]]
+            yes += np.bincount(mine, weights=told, minlength=size)
+            no += np.bincount(mine, weights=1 - told, minlength=size)
+        wording = np.log((yes + 0.5) / (no + 0.5))
         for _ in range(2):
             for k, (nodes, slots, label, use) in enumerate(sets):
                 z = np.bincount(nodes, weights=weights[slots], minlength=len(label))
-                sets[k] = (nodes, slots, np.where((label > 0) & (z < 0), 0.0, label), use)
+                worded = np.bincount(nodes[pairs[k]], weights=wording[slots[pairs[k]]], minlength=len(label))
+                sets[k] = (nodes, slots, np.where((label > 0) & ((z < 0) | (worded < WORDED)), 0.0, label), use)
             weights = cls._logistic(sets, rare, rounds, seed)
         # what a parent's label tells beyond the child's own score, by pseudo-likelihood: for each pair of kinds
         # logit(child) = score + shift + pull * (1 or -1 by the parent's label), with a normal prior on both
