@@ -1,9 +1,13 @@
 """All queries of the core, by name, and the SQL each is checked against."""
 
+from __future__ import annotations
+
+from fathom.plans import common, retrieval  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(common.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(common.SQL)
