@@ -52,7 +52,7 @@ def cache_key(query: Column, top_k: Column, services: Column) -> Column:
 
 def parse_services(param: Column) -> Column:
     """The services of a comma-separated parameter, blanks dropped; null if none is left."""
-    names = F.filter(F.transform(F.split(param, ","), F.trim), lambda s: s != "")
+    names = F.filter(F.transform(F.split(param, ","), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(F.size(names) > 0, names)
 
 
