@@ -1,8 +1,7 @@
 """Content nodes to chunks: prose packed by paragraphs and sentences, tables by rows, code whole.
 
-Nodes come as rows in document order; packing is a fold over a node's pieces, overlap a
-fold over a document's chunks. Both run in one Arrow group step per document, whose size
-is a page's.
+A page is parsed and chunked in one Arrow step, as its chunks depend on each other:
+packing is a fold over a node's pieces, overlap a fold over the page's chunks.
 """
 
 from __future__ import annotations
@@ -10,13 +9,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions.text import CONFIG_PATTERNS
-from fathom.sources.html import flatten_page
+from fathom.sources.html import flatten_page, with_parsed
 
 MAX_TOKENS, OVERLAP, CONTEXT = 512, 50, 100
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -125,22 +123,17 @@ def chunk_nodes(title: str | None, nodes: list, limit: int = MAX_TOKENS, overlap
 
 
 def chunk_pages(pages: DataFrame, html_col: str = "html", limit: int = MAX_TOKENS, overlap: int = OVERLAP, sep: str = " ") -> DataFrame:
-    """The pages with (ok, error, title, chunks): parsed and chunked in one UDF, each page by itself."""
+    """The pages with (ok, error, title, chunks): parsed and chunked in one Arrow step, each page by itself."""
     kind = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("error", T.StringType()), T.StructField("title", T.StringType()), T.StructField("chunks", T.ArrayType(CHUNK))])
 
-    @F.pandas_udf(kind)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for html in part:
-                ok, error, title, nodes = flatten_page(html, sep)
-                try:
-                    rows.append((ok, error, title, chunk_nodes(title, nodes, limit, overlap)))
-                except Exception as e:  # noqa: BLE001
-                    rows.append((False, f"{type(e).__name__}: {e}", title, []))
-            yield pd.DataFrame(rows, columns=["ok", "error", "title", "chunks"])
-
-    return pages.withColumn("_p", run(html_col)).select(*pages.columns, "_p.*")
+    def parse(html: str | None) -> tuple:
+        ok, error, title, nodes = flatten_page(html, sep)
+        try:
+            return ok, error, title, [(*c[:5], list(c[5].items())) for c in chunk_nodes(title, nodes, limit, overlap)]
+        except Exception as e:  # noqa: BLE001
+            return False, f"{type(e).__name__}: {e}", title, []
+
+    return with_parsed(pages, html_col, kind, parse)
 
 
 def exploded(chunked: DataFrame, *keep: str) -> DataFrame:

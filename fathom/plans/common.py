@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.text import STOP_WORDS
+from fathom.session import spread
 from fathom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +38,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
 
+    def spread(self, name: str) -> DataFrame:
+        """For plans that do much with each row."""
+        return spread(table(self.spark, self.dir, name))
+
 
 #: Requests with a number that names their vector in the table of embeddings.
 REQUESTS = (

@@ -238,21 +238,21 @@ def group_chunks(spark, sf_dir):
 
 @query()
 def html_flatten(spark, sf_dir):
-    flat = Tables(spark, sf_dir).crawl_result.select("crawl_id", flatten_html()("html").alias("p"))
-    return flat.select("crawl_id", F.inline("p.nodes")).withColumn("headings", F.array_join(F.transform("headings", lambda h: h.text), " > "))
+    flat = flatten_html(Tables(spark, sf_dir).spread("crawl_result").select("crawl_id", "html"))
+    return flat.select("crawl_id", F.inline("nodes")).withColumn("headings", F.array_join(F.transform("headings", lambda h: h.text), " > "))
 
 
 @query()
 def page_outline(spark, sf_dir):
-    flat = Tables(spark, sf_dir).crawl_result.select("crawl_id", flatten_html()("html").alias("p"))
-    return flat.select("crawl_id", F.posexplode(outline(F.col("p.nodes"))).alias("line_no", "line"))
+    flat = flatten_html(Tables(spark, sf_dir).spread("crawl_result").select("crawl_id", "html"))
+    return flat.select("crawl_id", F.posexplode(outline(F.col("nodes"))).alias("line_no", "line"))
 
 
 @query()
 def chunk_pages(spark, sf_dir):
-    return exploded(chunk(Tables(spark, sf_dir).crawl_result.select("crawl_id", "html")), "crawl_id")
+    return exploded(chunk(Tables(spark, sf_dir).spread("crawl_result").select("crawl_id", "html")), "crawl_id")
 
 
 @query()
 def run_statistics(spark, sf_dir):
-    return statistics(chunk(Tables(spark, sf_dir).crawl_result.select("crawl_id", "html")))
+    return statistics(chunk(Tables(spark, sf_dir).spread("crawl_result").select("crawl_id", "html")))

@@ -59,16 +59,16 @@ def null_embedding_filter(spark, sf_dir):
 
 @query(f"WITH {POSTINGS_SQL} SELECT chunk_id, term, pos, weight FROM postings")
 def postings(spark, sf_dir):
-    return keyword.postings(Tables(spark, sf_dir).chunks)
+    return keyword.postings(Tables(spark, sf_dir).spread("chunks"))
 
 
 @query(f"WITH {POSTINGS_SQL} SELECT term, count(DISTINCT chunk_id) AS records, count(*) AS occurrences FROM postings GROUP BY 1")
 def term_stats(spark, sf_dir):
-    return keyword.term_stats(keyword.postings(Tables(spark, sf_dir).chunks))
+    return keyword.term_stats(keyword.postings(Tables(spark, sf_dir).spread("chunks")))
 
 
 def _hits(t: Tables, asked):
-    return keyword.hits(keyword.postings(t.chunks), keyword.query_terms(asked))
+    return keyword.hits(keyword.postings(t.spread("chunks")), keyword.query_terms(asked))
 
 
 @query(f"WITH {REQUESTS_SQL}, {POSTINGS_SQL}, {TERMS_SQL}, {HITS_SQL} SELECT DISTINCT query_id, chunk_id FROM hits")
@@ -105,7 +105,7 @@ def keyword_topk_filtered(spark, sf_dir):
 @query()
 def keyword_topk_english(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    posted = keyword.stemmed(keyword.postings(t.chunks))
+    posted = keyword.stemmed(keyword.postings(t.spread("chunks")))
     stems = keyword.stemmed(keyword.query_terms(requests(t)))
     # stems that two words of a query share are one term
     stems = stems.groupBy("query_id", "term").agg(F.min("term_no").alias("term_no"))
@@ -142,13 +142,13 @@ def rrf_fusion_topk0(spark, sf_dir):
 @query(HYBRID_SQL + "SELECT query_id, chunk_id, round(score, 6) AS score, vector_rank, keyword_rank, rank, score_kind FROM results")
 def hybrid_search(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return search.hybrid(embedded_requests(t), t.chunks, 10).select("query_id", "chunk_id", r6(F.col("score"), "score"), "vector_rank", "keyword_rank", "rank", "score_kind")
+    return search.hybrid(embedded_requests(t), t.spread("chunks"), 10).select("query_id", "chunk_id", r6(F.col("score"), "score"), "vector_rank", "keyword_rank", "rank", "score_kind")
 
 
 @query(f"WITH {REQUESTS_SQL}, {POSTINGS_SQL}, {TERMS_SQL}, {HITS_SQL}, {COVER_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, 'keyword' AS score_kind FROM ranked_kw WHERE rank <= 10")
 def hybrid_keyword_fallback(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return search.fallback(requests(t), t.chunks, 10).select("query_id", "chunk_id", r6(F.col("score"), "score"), "rank", "score_kind")
+    return search.fallback(requests(t), t.spread("chunks"), 10).select("query_id", "chunk_id", r6(F.col("score"), "score"), "rank", "score_kind")
 
 
 @query(HYBRID_SQL + """
@@ -157,7 +157,7 @@ def hybrid_keyword_fallback(spark, sf_dir):
 """)
 def enrich_join(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    found = search.enrich(search.hybrid(embedded_requests(t), t.chunks, 10), t.chunks, t.documents)
+    found = search.enrich(search.hybrid(embedded_requests(t), t.spread("chunks"), 10), t.chunks, t.documents)
     return found.select("query_id", "chunk_id", "rank", "document_id", "chunk_index", "chunk_type", "section_path", "text", "url", "service_name", "title")
 
 
@@ -215,7 +215,7 @@ def metadata_decode(spark, sf_dir):
 
 @query()
 def embed_hashing(spark, sf_dir):
-    return embed(Tables(spark, sf_dir).chunks.select("chunk_id", "text"))
+    return embed(Tables(spark, sf_dir).spread("chunks").select("chunk_id", "text"))
 
 
 @query()

@@ -94,3 +94,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, least_bytes: int = 8 << 20) -> DataFrame:
+    """Deals the rows of a small input out to all cores, before work that costs far more than reading it.
+
+    A small table may lie in one row group, which one task reads and works on alone. Inputs of more than
+    ``least_bytes`` a core have splits enough and are left as they are; filters and column pruning still
+    reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < least_bytes * cores else df

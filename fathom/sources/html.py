@@ -1,6 +1,6 @@
 """Web pages to content nodes.
 
-One Arrow UDF parses a page into a small tree of elements and returns its content in
+One Arrow step parses a page into a small tree of elements and returns its content in
 document order as an array of flat nodes, each with its headings; everything after that
 is columns.
 """
@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Where a page's main content stands, in order of preference, as (kind, value).
 MAIN_SELECTORS = (("id", "main-col-body"), ("class", "awsdocs-container"), ("main", "main"), ("tag", "main"), ("id", "main-content"), ("tag", "article"))
@@ -283,15 +285,26 @@ def flatten_page(html: str | None, sep: str = " ") -> tuple:
         return False, f"{type(e).__name__}: {e}", None, []
 
 
-def flatten_html(sep: str = " "):
-    """The UDF html -> struct<ok, error, title, nodes>. ``sep`` joins the strings of inline elements."""
+def with_parsed(df: DataFrame, html_col: str, schema: T.StructType, parse: Callable[[str | None], tuple]) -> DataFrame:
+    """The rows with the fields of ``schema`` that ``parse`` makes of each page, built as Arrow arrays at once."""
+    out = T.StructType([*df.schema.fields, *schema.fields])
+    at = df.columns.index(html_col)
 
-    @F.pandas_udf(PAGE)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame([flatten_page(h, sep) for h in part], columns=["ok", "error", "title", "nodes"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                rows = [parse(h) for h in part.column(at).to_pylist()]
+                fields = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds.types)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *fields], names=out.names)
 
-    return run
+    return df.mapInArrow(run, out)
+
+
+def flatten_html(df: DataFrame, html_col: str = "html", sep: str = " ") -> DataFrame:
+    """The rows with (ok, error, title, nodes). ``sep`` joins the strings of inline elements."""
+    return with_parsed(df, html_col, PAGE, lambda h: flatten_page(h, sep))
 
 
 def outline(nodes):
