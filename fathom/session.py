@@ -51,9 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
+def shared_path(spark: SparkSession, label: str, suffix: str = "") -> str:
     """A new path below the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/fathom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/fathom/{label}-{uuid.uuid4().hex}{suffix}"
     atexit.register(_drop, spark, path)
     return path
 
@@ -70,9 +70,9 @@ def _drop(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path[7:], ignore_errors=True)
 
 
-def write_shared_file(spark: SparkSession, label: str, content: bytes) -> str:
+def write_shared_file(spark: SparkSession, label: str, content: bytes, suffix: str = "") -> str:
     """Writes bytes to a file in the shared folder and returns its path."""
-    path = shared_path(spark, label)
+    path = shared_path(spark, label, suffix)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
@@ -106,3 +106,25 @@ def spread(df: DataFrame, least_bytes: int = 8 << 20) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < least_bytes * cores else df
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application; the file lies in the shared folder."""
+    import io
+    import pathlib
+    import zipfile
+
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent).as_posix())
+    path = write_shared_file(spark, "package", held.getvalue(), ".zip")
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(application)

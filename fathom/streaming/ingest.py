@@ -41,8 +41,8 @@ def stream_pages(pages: DataFrame, store: index.VersionedStore, checkpoint: str)
 
 
 def stream_rate_limit(log: DataFrame, key: str, at: str, order: str, rate: float = RATE, burst: int = BURST, idle: float = IDLE) -> DataFrame:
-    """(key, order, ts, allowed) of a stream of requests; a key unseen for ``idle`` seconds is forgotten."""
-    picked = log.select(key, order, at)
+    """(key, order, ts, allowed) of a stream of requests; a key unseen for ``idle`` seconds of the stream's own time is forgotten."""
+    picked = log.select(key, order, at).withWatermark(at, f"{int(idle)} seconds")
     out = picked.withColumn("allowed", F.lit(True)).schema
 
     def run(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -54,10 +54,10 @@ def stream_rate_limit(log: DataFrame, key: str, at: str, order: str, rate: float
         tokens, last = state.get if state.exists else (float(burst), times[0])
         allowed, tokens, last = token_bucket(times, rate, burst, tokens, last)
         state.update((float(tokens), float(last)))
-        state.setTimeoutDuration(int(idle * 1000))
+        state.setTimeoutTimestamp(max(int((last + idle) * 1000), state.getCurrentWatermarkMs() + 1))
         yield rows.assign(allowed=allowed)
 
-    return picked.groupBy(key).applyInPandasWithState(run, out, "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return picked.groupBy(key).applyInPandasWithState(run, out, "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(log: DataFrame, at: str, kind: str, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
