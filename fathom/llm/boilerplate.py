@@ -385,9 +385,12 @@ def training_pages(df: DataFrame, html_col: str, limit: int = TRAIN_PAGES) -> li
 
 def main_blocks(df: DataFrame, id_col: str = "crawl_id", html_col: str = "html", train_pages: int = TRAIN_PAGES, least: float = 0.5) -> DataFrame:
     """(id, block_no, tag, text, probability): the blocks of each page's main content. Narrow but for the choice of training pages."""
-    model = Model.fit(training_pages(df, html_col, train_pages))
-    shared = df.sparkSession.sparkContext.broadcast(model)  # a table of fixed size, 1 MB
     kind = df.schema[id_col].dataType.simpleString()
+    schema = f"id {kind}, block_no int, tag string, text string, probability double"
+    pages = training_pages(df, html_col, train_pages)
+    if not pages:
+        return df.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_col)
+    shared = df.sparkSession.sparkContext.broadcast(Model.fit(pages))  # a table of fixed size, 1 MB
     tags = {i: t for t, i in NAMES.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,4 +418,4 @@ def main_blocks(df: DataFrame, id_col: str = "crawl_id", html_col: str = "html",
                 )
 
     picked = df.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.length("html") > 0)
-    return picked.mapInArrow(run, f"id {kind}, block_no int, tag string, text string, probability double").withColumnRenamed("id", id_col)
+    return picked.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -7,7 +7,7 @@ very many vectors the first two) names the vector's list. A query goes to the li
 best beams; there, tables of its inner products with all codewords and the stored norms
 score the codes, and the best scores are reranked on the exact vectors.
 
-Every row is indexed. Defined results: vectors that are null, of another dimension, zero
+Every row is indexed. Ids are integers. Defined results: rows of null id and vectors that are null, of another dimension, zero
 or not finite take part in nothing; length plays no role; rows that repeat an id count
 once; of equal similarities the lesser id is nearer; copies of a vector are indexed once
 and find each other at similarity 1; empty tables give empty tables.
@@ -162,7 +162,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
             at = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], names=["id", "same", "vector"])
 
-    picked = df.select(F.col(id_col).alias("id"), F.xxhash64(vector_col).alias("same"), F.col(vector_col).alias("vector")).where(F.size("vector") == dim)
+    picked = df.select(F.col(id_col).alias("id"), F.xxhash64(vector_col).alias("same"), F.col(vector_col).alias("vector")).where((F.size("vector") == dim) & F.col("id").isNotNull())
     return picked.mapInArrow(run, f"id {kind}, same long, vector binary")
 
 

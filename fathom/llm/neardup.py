@@ -12,7 +12,7 @@ Texts of the same words in the same order make one class and are sketched as one
 that too many classes share (``max_bucket``) are not paired off: their classes are joined
 exactly instead, by the prefixes of their shingles ordered by rarity.
 
-Defined results: texts that are null, empty or under ``min_words`` words take part in
+Defined results: rows of null id and texts that are null, empty or under ``min_words`` words take part in
 nothing; rows that repeat an id count once; copies are linked among each other up to
 ``expand_copies`` copies of a text, beyond that each copy with its representative (the
 least id), while ``duplicate_groups`` counts all links; empty tables give empty tables.
@@ -106,7 +106,7 @@ def sketch(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: i
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + s.rows)), pa.array(kernel.signed(s.classes)), keys.cast(pa.list_(pa.int64()))], names=["id", "class", "keys"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0).mapInArrow(run, f"id {kind}, class long, keys array<long>")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where((F.length("text") > 0) & F.col("id").isNotNull()).mapInArrow(run, f"id {kind}, class long, keys array<long>")
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: int, hashes: int) -> DataFrame:
