@@ -75,6 +75,12 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word"))
 
 
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics alone that SQL can count too."""
+    rated = p8_stats(spark, sf_dir)
+    return rated.select("doc_id", "word_count", F.round("mean_word_length", 6).alias("mean_word_length"), F.round("common_word_share", 6).alias("common_word_share"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_stats(spark, sf_dir).where("text_type = 'other'").select("doc_id")
 
@@ -119,7 +125,7 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_blocks, p2_found, p3_found, p3_neighbours, p4_found, p4_groups, p5_clean, p5_found, p5_lines, p6_ids, p7_found, p7_leaks, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_blocks, p2_found, p3_found, p3_neighbours, p4_found, p4_groups, p5_clean, p5_found, p5_lines, p6_ids, p7_found, p7_leaks, p8_counts, p8_found, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -139,6 +145,45 @@ def oracle_sql() -> dict[str, str]:
             ), flat AS (SELECT unnest(places) AS place FROM often)
             SELECT DISTINCT place.chunk_id AS chunk_id, CAST(place.line_no AS INTEGER) AS line_no FROM flat
         """,
+        "p3_found": """
+            WITH v AS (
+                SELECT chunk_id, embedding::DOUBLE[] AS v FROM chunks
+                WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+            ), s AS (
+                SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.v, b.v) AS c FROM v a CROSS JOIN v b WHERE a.chunk_id <> b.chunk_id
+            ), near AS (
+                SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM s WHERE c >= 0.9) WHERE r <= 5
+            )
+            SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM near
+        """,
+        "p4_found": r"""
+            WITH w AS (
+                SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM chunks WHERE text IS NOT NULL
+            ), g AS (
+                SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 15
+            ), n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY 1),
+            f AS (SELECT g, count(*) AS f FROM g GROUP BY 1),
+            ranked AS (SELECT g.chunk_id, g.g, n.n, row_number() OVER (PARTITION BY g.chunk_id ORDER BY f.f, g.g) AS place FROM g JOIN n USING (chunk_id) JOIN f USING (g)),
+            prefix AS (SELECT * FROM ranked WHERE place <= n - ceil(0.6 * n) + 1),
+            pairs AS (SELECT DISTINCT a.chunk_id AS a, b.chunk_id AS b, a.n AS na, b.n AS nb FROM prefix a JOIN prefix b ON a.g = b.g AND a.chunk_id < b.chunk_id WHERE least(a.n, b.n) >= 0.6 * greatest(a.n, b.n)),
+            shared AS (SELECT p.a, p.b, p.na, p.nb, count(*) AS common FROM pairs p JOIN g x ON x.chunk_id = p.a JOIN g y ON y.chunk_id = p.b AND y.g = x.g GROUP BY ALL)
+            SELECT a AS chunk_id_a, b AS chunk_id_b FROM shared WHERE common >= 0.6 * (na + nb - common)
+        """,
+        "p7_found": r"""
+            WITH items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_item WHERE text IS NOT NULL),
+            sized AS (SELECT item_id, w, least(12, len(w)) AS n FROM items WHERE len(w) > 0),
+            windows AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS g FROM sized),
+            docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+            grams AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS g FROM docs CROSS JOIN (SELECT DISTINCT n FROM sized) WHERE len(w) >= n)
+            SELECT DISTINCT doc_id, item_id FROM grams JOIN windows USING (n, g)
+        """,
+        "p8_counts": r"""
+            WITH common AS (SELECT list(DISTINCT lower(trim(word))) AS c FROM common_word WHERE trim(word) <> ''),
+            d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents)
+            SELECT doc_id, len(w) AS word_count, CASE WHEN len(w) > 0 THEN round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) END AS mean_word_length,
+                   CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains(c, x))) / len(w), 6) END AS common_word_share
+            FROM d, common
+        """,
         "p1_found": r"""
             SELECT chunk_id FROM chunks
             WHERE len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s\p{Z}\x{0085}\x0B\x1C-\x1F]')) > 512
