@@ -3,14 +3,16 @@
 Method: additive quantisation. A vector is approximated by a sum of full-dimensional
 codewords, one of each codebook; codes are found by beam search, the codebooks by
 alternating encoding and joint least squares on a bounded sample. The first code (with
-very many vectors the first two) names the vector's list. A query goes to the lists of its
-best beams; there, tables of its inner products with all codewords and the stored norms
-score the codes, and the best scores are reranked on the exact vectors.
-
-Every row is indexed. Ids are integers. Defined results: rows of null id and vectors that are null, of another dimension, zero
-or not finite take part in nothing; length plays no role; rows that repeat an id count
-once; of equal similarities the lesser id is nearer; copies of a vector are indexed once
-and find each other at similarity 1; empty tables give empty tables.
+very many vectors the first two) names a list; a vector is stored in the lists of its two
+best beams. A query goes to the lists of its best beams; there, tables of its inner
+products with all codewords and the stored norms score the codes, and the best scores are
+reranked on the exact vectors.
+
+Every row is indexed. Ids are integers. Defined results: rows of null id and vectors that
+are null, of another dimension, zero or not finite take part in nothing; length plays no
+role; rows that repeat an id count once; of equal similarities the lesser id is nearer;
+copies of a vector are indexed once and find each other at similarity 1; empty tables give
+empty tables.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ FIT_STEP = 2048
 #: Residual codebooks and their codewords, beams of the encoder.
 BOOKS, WORDS, BEAMS = 6, 256, 4
 #: Vectors of a list, on average; lists of one level, at most; vectors and queries of one task's block, at most.
-LIST_ROWS, MAX_LISTS, BLOCK_ROWS, BLOCK_QUERIES = 1000, 4096, 8192, 1 << 16
-PROBES, SHORTLIST = 5, 32
+LIST_ROWS, MAX_LISTS, BLOCK_ROWS, BLOCK_QUERIES = 500, 4096, 8192, 1 << 16
+#: Lists that a query goes to, and lists that a row is stored in; scores that are reranked in each list.
+PROBES, SPILLS, SHORTLIST = 6, 2, 48
 
 
 def beam_encode(x: np.ndarray, books: list[np.ndarray], beams: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +113,12 @@ class Codebooks:
         return codes[:, :, 0] if self.depth == 1 else codes[:, :, 0] * WORDS + codes[:, :, 1]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The list, the codes of the residual codebooks and the norm of the approximation of each vector."""
-        cell = self.cells(x, 1)[:, 0]
+        """For each of its best lists (n, spills) a vector's codes of the residual codebooks, and the norm of the approximation."""
+        cells = self.cells(x, SPILLS)
+        parts = [self._encode_in(x, cells[:, s]) for s in range(cells.shape[1])]
+        return cells, np.stack([c for c, _ in parts], 1), np.stack([n for _, n in parts], 1)
+
+    def _encode_in(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.depth == 1:
             first = cell
             codes, left = beam_encode(x - self.books[0][first], self.books[1:], BEAMS)
@@ -120,7 +127,7 @@ class Codebooks:
             first, second = cell // WORDS, cell % WORDS
             codes, left = beam_encode(x - self.books[0][first] - self.books[1][second], self.books[2:], BEAMS)
             codes, left = np.concatenate([second[:, None], codes[:, 0]], 1), left[:, 0]
-        return cell, codes.astype(np.uint8), np.linalg.norm(x - left, axis=1).astype(np.float32)
+        return codes.astype(np.uint8), np.linalg.norm(x - left, axis=1).astype(np.float32)
 
     def first(self, cell: np.ndarray) -> np.ndarray:
         return cell if self.depth == 1 else cell // WORDS
@@ -196,9 +203,17 @@ class VectorIndex:
                     part = batch.slice(at, 2048)
                     x = _matrix(part.column(1), dim)
                     cell, code, norm = books.encode(x)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(norm), part.column(1)], names=["id", "cell", "code", "norm", "vector"])
+                    ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * cell.shape[1])
+                    listed = (pa.array(cell.ravel(), pa.int32()), pa.array([c.tobytes() for c in code.reshape(-1, BOOKS)], pa.binary()), pa.array(norm.ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), *(pa.ListArray.from_arrays(ends, v) for v in listed), part.column(1)], names=["id", "cells", "codes", "norms", "vector"])
+
+        return self.alone.select("id", "vector").mapInArrow(run, f"id {self.id_type}, cells array<int>, codes array<binary>, norms array<float>, vector binary")
 
-        return self.alone.select("id", "vector").mapInArrow(run, f"id {self.id_type}, cell int, code binary, norm float, vector binary")
+    def _stored(self, every: bool) -> DataFrame:
+        """(id, cell, code, norm, vector): a row for each list that a vector is stored in, or for its best one."""
+        if every:
+            return self.indexed.select("id", F.inline(F.arrays_zip("cells", "codes", "norms")), "vector").toDF("id", "cell", "code", "norm", "vector")
+        return self.indexed.select("id", F.get("cells", F.lit(0)).alias("cell"), F.get("codes", F.lit(0)).alias("code"), F.get("norms", F.lit(0)).alias("norm"), "vector")
 
     def similar(self, k: int = 5, least: float = -1.0, probes: int = PROBES, shortlist: int = SHORTLIST) -> DataFrame:
         """(id, neighbour, similarity, rank): the k nearest of every indexed vector, of at least similarity ``least``.
@@ -225,15 +240,16 @@ class VectorIndex:
             return pa.table({"id": own[good], "neighbour": ids[d][good], "similarity": s[good]})
 
         queries = self.indexed.select("id", "vector").mapInArrow(probe, f"id {self.id_type}, cell int, vector binary")
-        sizes = self.indexed.groupBy("cell").agg(F.count("*").alias("n"))
+        rows = self._stored(True)
+        sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
         asked = queries.groupBy("cell").agg(F.count("*").alias("q"))
         big = sizes.join(asked, "cell").where((F.col("n") > BLOCK_ROWS) | (F.col("q") > BLOCK_QUERIES))
         big = materialize(big.select("cell", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("turns")), "big-lists")
-        stored = self.indexed.withColumn("part", F.lit(0)).withColumn("turn", F.lit(0))
+        stored = rows.withColumn("part", F.lit(0)).withColumn("turn", F.lit(0))
         queries = queries.withColumn("part", F.lit(0)).withColumn("turn", F.lit(0))
         if big.take(1):
             one = F.lit(1)
-            stored = self.indexed.join(big, "cell", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", one)).cast("int"))
+            stored = rows.join(big, "cell", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", one)).cast("int"))
             stored = stored.withColumn("turn", F.explode(F.sequence(F.lit(0), F.coalesce("turns", one) - 1))).drop("parts", "turns")
             queries = queries.join(big, "cell", "left").withColumn("turn", F.pmod(F.xxhash64("id"), F.coalesce("turns", one)).cast("int"))
             queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", one) - 1))).drop("parts", "turns")
@@ -270,7 +286,7 @@ class VectorIndex:
                     yield pa.RecordBatch.from_arrays([pa.array(qid[q][good]), pa.array(ids[d][good]), pa.array(s[good])], names=["id", "neighbour", "similarity"])
 
         asked = queries.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(pack(("id", "vector"), 1024), "id binary, vector binary").toDF("qid", "qv")
-        stored = self.indexed.withColumn("id", F.col("id").cast("long")).mapInArrow(pack(("id", "cell", "code", "norm", "vector"), BLOCK_ROWS), "id binary, cell binary, code binary, norm binary, vector binary")
+        stored = self._stored(False).withColumn("id", F.col("id").cast("long")).mapInArrow(pack(("id", "cell", "code", "norm", "vector"), BLOCK_ROWS), "id binary, cell binary, code binary, norm binary, vector binary")
         found = asked.repartition(F.col("qid")).crossJoin(stored).mapInArrow(meet, "id long, neighbour long, similarity double")
         found = found.select(F.col("id").cast(self.id_type).alias("id"), F.col("neighbour").cast(self.id_type).alias("neighbour"), "similarity")
         return self._ranked(self._to_copies(found, k)[0] if self.has_copies else found, k, -1.0)
