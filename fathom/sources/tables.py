@@ -74,3 +74,8 @@ class Settings:
     def of(cls, spark: SparkSession) -> Settings:
         named = {f.name: spark.conf.get(f"spark.fathom.{f.name}", None) for f in fields(cls)}
         return cls(**{k: type(getattr(cls, k))(float(v)) for k, v in named.items() if v is not None})
+
+
+def html_responses(fetched: DataFrame) -> DataFrame:
+    """Of fetched responses (status, content_type, ...) those that are pages."""
+    return fetched.where((F.col("status") == 200) & F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("text/html")))
