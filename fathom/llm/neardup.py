@@ -213,8 +213,12 @@ class NearDuplicates:
         self.expand_copies = expand_copies
         sketches = materialize(sketch(df, id_col, text_col, shingle, min_words, bands, rows), "sketches")
         self.members = sketches.groupBy("id").agg(F.min("class").alias("class"))
-        sharing = F.count("*").over(Window.partitionBy("key"))
-        shared = materialize(sketches.select(F.explode("keys").alias("key"), "class").distinct().withColumn("n", sharing).where("n > 1"), "buckets")
+        # Keys are counted before rows are joined to the counts: the count combines before its shuffle, and a key that
+        # a third of all rows have is split in the join. Copies count here too and fall out of the distinct rows.
+        bands_of = sketches.select(F.explode("keys").alias("key"), "class")
+        met = bands_of.join(bands_of.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "key").distinct()
+        met = materialize(met, "met")
+        shared = materialize(met.join(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "buckets")
         small, hot = shared.where(F.col("n") <= max_bucket), shared.where(F.col("n") > max_bucket).select("class").distinct()
         pairs = small.select("key", F.col("class").alias("a")).join(small.select("key", F.col("class").alias("b")), "key").where("a < b").select("a", "b").distinct()
 
