@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fathom.session import exact_unions
+
 K = 60
 
 
@@ -14,6 +16,7 @@ def rrf(vector: DataFrame, keyword: DataFrame, top_k: int, id_col: str = "chunk_
 
     One shuffle: the lists are stacked and summed, not joined.
     """
+    exact_unions(vector.sparkSession)
     arms = vector.select("query_id", id_col, F.col("rank").alias("vector_rank"), F.lit(None).cast("int").alias("keyword_rank")).unionByName(keyword.select("query_id", id_col, F.lit(None).cast("int").alias("vector_rank"), F.col("rank").alias("keyword_rank")))
     one = arms.groupBy("query_id", id_col).agg(F.min("vector_rank").alias("vector_rank"), F.min("keyword_rank").alias("keyword_rank"))
     part = lambda c: F.when(F.col(c).isNull(), 0.0).otherwise(1.0 / (k + F.col(c)))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fathom.session import exact_unions
+
 
 def newest(df: DataFrame, key: str, at: str, *ties: str) -> DataFrame:
     """The newest row of each key, nulls of ``at`` oldest; ties go to the greater values of ``ties``.
@@ -34,6 +36,7 @@ def changed(pages: DataFrame, state: DataFrame) -> DataFrame:
 
 def merge_state(state: DataFrame, crawled: DataFrame) -> DataFrame:
     """(url, content_hash, last_crawled_at) after a crawl: one row per url, the newest fetch over what was known."""
+    exact_unions(state.sparkSession)
     cols = ("url", "content_hash", "last_crawled_at")
     both = state.select(*cols, F.lit(0).alias("_new")).unionByName(crawled.select("url", "content_hash", F.col("crawled_at").alias("last_crawled_at"), F.lit(1).alias("_new")))
     return newest(both.where("url IS NOT NULL").select("url", "_new", "last_crawled_at", "content_hash"), "url", "_new", "last_crawled_at", "content_hash").select(*cols)
@@ -41,6 +44,7 @@ def merge_state(state: DataFrame, crawled: DataFrame) -> DataFrame:
 
 def replace_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The old table with all rows of the new one's keys replaced."""
+    exact_unions(old.sparkSession)
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
@@ -55,6 +59,7 @@ def chunk_id(url_col: str = "url", index_col: str = "chunk_index"):
 
 def merge_unique(first: DataFrame, second: DataFrame, key: str = "url") -> DataFrame:
     """Ordered union without repetition: (key, position) by the first place a key stands at; each side has key and position."""
+    exact_unions(first.sparkSession)
     both = first.select(key, F.struct(F.lit(0), "position").alias("p")).unionByName(second.select(key, F.struct(F.lit(1), "position").alias("p")))
     least = both.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("p").alias("p"))
     return least.select(key, F.row_number().over(Window.orderBy("p")).alias("position"))

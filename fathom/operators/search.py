@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fathom.operators import fusion, keyword, vector
+from fathom.session import materialize
 
 OVER_FETCH = 3
 
@@ -32,7 +33,8 @@ def filtered(chunks: DataFrame, documents: DataFrame, services: list[str] | None
 
 
 def keyword_arm(requests: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    terms = keyword.query_terms(requests)
+    # written, so that the join with the postings knows how small the terms are
+    terms = materialize(keyword.query_terms(requests), "terms")
     return keyword.top_k(keyword.cover_density(keyword.hits(keyword.postings(chunks), terms)), k)
 
 
@@ -78,7 +80,11 @@ def fallback(requests: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
 
 
 def enrich(ranked: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Texts and documents of ranked chunks, fetched after the cut. Chunks without document are dropped."""
+    """Texts and documents of ranked chunks, fetched after the cut. Chunks without document are dropped.
+
+    The cut is written first: its real size lets the scans of texts and documents be filtered without a shuffle.
+    """
+    ranked = materialize(ranked, "ranked")
     ids = ranked.select("chunk_id").distinct()
     texts = chunks.select("chunk_id", "document_id", "text", "chunk_type", "section_path", "token_count", "chunk_index").join(ids, "chunk_id", "left_semi")
     named = documents.select(F.col("doc_id").alias("document_id"), "url", "service_name", "title")

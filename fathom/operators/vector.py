@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Bytes of packed query vectors that may be broadcast; more queries are taken in blocks.
+from fathom.session import materialize
+
+#: Bytes of packed query vectors that may be broadcast.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -45,9 +47,9 @@ def top_k(df: DataFrame, query: Sequence[float], k: int, id_col: str, vector_col
 def top_k_batch(queries: DataFrame, corpus: DataFrame, k: int, dim: int, query_id: str = "query_id", id_col: str = "id", vector_col: str = "vector", keep_self: bool = True) -> DataFrame:
     """(query_id, id, score, rank): the k best rows for each query.
 
-    Queries are packed into blocks of bounded size that meet every batch of the corpus once;
-    each batch sends on its k best rows a query only, so what is shuffled does not grow with
-    the corpus but with its batches.
+    Queries are packed into blocks that meet every batch of the corpus. Up to ``BROADCAST_BYTES`` of them go to all
+    tasks, so that the corpus is read once; beyond that, partitions meet pairwise. Each batch sends on its k best rows
+    a query only.
     """
     picked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v"), dim))
     kind = corpus.schema[id_col].dataType.simpleString()
@@ -75,7 +77,13 @@ def top_k_batch(queries: DataFrame, corpus: DataFrame, k: int, dim: int, query_i
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])[good]), pa.array(ids[order].ravel()[good]), pa.array(best.ravel()[good])], names=["query_id", "id", "score"])
 
     packed = "ids binary, data binary"
-    left, right = picked.mapInArrow(pack, packed).toDF("qids", "qdata"), rows.mapInArrow(pack, packed)
-    found = left.repartition(F.col("qids")).crossJoin(right).mapInArrow(meet, "query_id long, id long, score double")
+    left = materialize(picked.mapInArrow(pack, packed).toDF("qids", "qdata"), "query-blocks")
+    right = rows.mapInArrow(pack, packed)
+    size = left.agg(F.sum(F.length("qids") + F.length("qdata"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        met = right.crossJoin(F.broadcast(left)).select("qids", "qdata", "ids", "data")
+    else:
+        met = left.crossJoin(right)
+    found = met.mapInArrow(meet, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("id", F.col("id").cast(kind))

@@ -7,7 +7,9 @@ from pyspark.sql.window import Window
 
 from fathom.operators import fusion, keyword, search, stats, vector
 from fathom.operators.embed import embed
+
 from fathom.plans.common import COVER_SQL, FIXED_SQL, HITS_SQL, HYBRID_SQL, POSTINGS_SQL, REQUESTS_SQL, TERMS_SQL, USABLE_SQL, VECTOR_ARM_SQL, Tables, embedded_requests, query, r6, requests
+from fathom.session import materialize
 
 SERVICES = ["objectvault", "funcrunner", "queuely"]
 _SERVICES_SQL = "('objectvault', 'funcrunner', 'queuely')"
@@ -68,7 +70,7 @@ def term_stats(spark, sf_dir):
 
 
 def _hits(t: Tables, asked):
-    return keyword.hits(keyword.postings(t.spread("chunks")), keyword.query_terms(asked))
+    return keyword.hits(keyword.postings(t.spread("chunks")), materialize(keyword.query_terms(asked), "terms"))
 
 
 @query(f"WITH {REQUESTS_SQL}, {POSTINGS_SQL}, {TERMS_SQL}, {HITS_SQL} SELECT DISTINCT query_id, chunk_id FROM hits")
@@ -106,7 +108,7 @@ def keyword_topk_filtered(spark, sf_dir):
 def keyword_topk_english(spark, sf_dir):
     t = Tables(spark, sf_dir)
     posted = keyword.stemmed(keyword.postings(t.spread("chunks")))
-    stems = keyword.stemmed(keyword.query_terms(requests(t)))
+    stems = keyword.stemmed(materialize(keyword.query_terms(requests(t)), "terms"))
     # stems that two words of a query share are one term
     stems = stems.groupBy("query_id", "term").agg(F.min("term_no").alias("term_no"))
     order, every = Window.partitionBy("query_id").orderBy("term_no"), Window.partitionBy("query_id")

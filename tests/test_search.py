@@ -141,3 +141,15 @@ def test_recall(spark):
     near = spark.createDataFrame([(1, 5), (2, 6), (3, 7)], "query_id long, id long")
     wanted = spark.createDataFrame([(1, 5), (2, 9), (3, 7), (4, 1)], "query_id long, id long")
     assert tuple(stats.recall_at_k(near, wanted).first()) == (4, 2, 0.5)
+
+
+def test_fusion_below_a_self_join(spark):
+    """Ranks stay unique when the fused list is used twice in one plan."""
+    rows = [(q, c, (c * 7 + q) % 50) for q in range(20) for c in range(50)]
+    base = spark.createDataFrame(rows, "query_id long, chunk_id long, v int")
+    from pyspark.sql.window import Window
+
+    rank = lambda by: base.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(by, "chunk_id"))).where("rank <= 30")
+    fused = fusion.rrf(rank("v"), rank(F.desc("chunk_id")), 10)
+    top = fused.groupBy("query_id").agg(F.max("rank").alias("rank"))
+    assert fused.join(top.withColumn("rank", F.explode(F.sequence(F.lit(1), F.col("rank")))), ["query_id", "rank"]).count() == 200
