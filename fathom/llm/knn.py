@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathom.session import materialize
+from fathom.session import exact_unions, materialize
 
 #: Rows that the codebooks are fitted on, at most.
 FIT_ROWS = 1 << 15
@@ -36,6 +36,8 @@ FIT_STEP = 2048
 BOOKS, WORDS, BEAMS = 6, 256, 4
 #: Vectors of a list, on average; lists of one level, at most; vectors and queries of one task's block, at most.
 LIST_ROWS, MAX_LISTS, BLOCK_ROWS, BLOCK_QUERIES = 500, 4096, 8192, 1 << 16
+#: Bytes of packed queries that ``search`` may broadcast.
+BROADCAST_BYTES = 64 << 20
 #: Lists that a query goes to, and lists that a row is stored in; scores that are reranked in each list.
 PROBES, SPILLS, SHORTLIST = 6, 2, 48
 
@@ -181,6 +183,7 @@ class VectorIndex:
     """Additive-quantisation index over one table of vectors."""
 
     def __init__(self, df: DataFrame, id_col: str = "chunk_id", vector_col: str = "embedding", dim: int = 64, fit_rows: int = FIT_ROWS) -> None:
+        exact_unions(df.sparkSession)
         self.dim, self.id_type = dim, df.schema[id_col].dataType.simpleString()
         self.all = materialize(usable(df, id_col, vector_col, dim), "vectors")
         self.copies = materialize(self.all.groupBy("same").agg(F.countDistinct("id").alias("n"), F.min("id").alias("head")).where("n > 1"), "copies")
@@ -262,7 +265,8 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int = 5, shortlist: int = 192) -> DataFrame:
         """(id, neighbour, similarity, rank): the k nearest rows of each query row (id, vector), scoring the codes of all rows.
 
-        For a stated set of queries: packed blocks of queries meet packed blocks of rows.
+        For a stated set of queries: packed blocks of queries meet packed blocks of rows. Queries of up to
+        ``BROADCAST_BYTES`` go to all tasks; beyond that, partitions meet pairwise.
         """
         books, dim = self.books, self.dim
 
@@ -287,7 +291,10 @@ class VectorIndex:
 
         asked = queries.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(pack(("id", "vector"), 1024), "id binary, vector binary").toDF("qid", "qv")
         stored = self._stored(False).withColumn("id", F.col("id").cast("long")).mapInArrow(pack(("id", "cell", "code", "norm", "vector"), BLOCK_ROWS), "id binary, cell binary, code binary, norm binary, vector binary")
-        found = asked.repartition(F.col("qid")).crossJoin(stored).mapInArrow(meet, "id long, neighbour long, similarity double")
+        asked = materialize(asked, "query-blocks")
+        size = asked.agg(F.sum(F.length("qid") + F.length("qv"))).first()[0] or 0
+        met = stored.crossJoin(F.broadcast(asked)).select("qid", "qv", "id", "cell", "code", "norm", "vector") if size <= BROADCAST_BYTES else asked.crossJoin(stored)
+        found = met.mapInArrow(meet, "id long, neighbour long, similarity double")
         found = found.select(F.col("id").cast(self.id_type).alias("id"), F.col("neighbour").cast(self.id_type).alias("neighbour"), "similarity")
         return self._ranked(self._to_copies(found, k)[0] if self.has_copies else found, k, -1.0)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fathom.llm import kernel
-from fathom.session import materialize
+from fathom.session import exact_unions, materialize
 
 #: Fixed by the defaults: 50 bands of 4 rows find a pair of similarity 0.6 with chance 0.999 and one of 0.7 with 0.999999.
 BANDS, ROWS = 50, 4
@@ -210,6 +210,7 @@ class NearDuplicates:
     def __init__(
         self, df: DataFrame, id_col: str = "chunk_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, min_words: int = 0, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, max_bucket: int = MAX_BUCKET, expand_copies: int = EXPAND_COPIES
     ) -> None:
+        exact_unions(df.sparkSession)
         self.expand_copies = expand_copies
         sketches = materialize(sketch(df, id_col, text_col, shingle, min_words, bands, rows), "sketches")
         self.members = sketches.groupBy("id").agg(F.min("class").alias("class"))
@@ -269,6 +270,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     Alternating large-star and small-star rounds, which need a number of rounds that grows
     as the logarithm of the longest path; each round is written to the shared folder.
     """
+    exact_unions(edges.sparkSession)
     now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     for _ in range(max_rounds):
         ways = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
