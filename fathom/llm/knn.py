@@ -98,13 +98,14 @@ class Codebooks:
         for _ in range(2):
             codes = encode_steps(x, books, BEAMS)[0]
             target = x - books[0][codes[:, 0]]
-            place = codes[:, 1:] + np.arange(BOOKS) * WORDS
+            # which codewords stand together how often, and the sum of the targets that each takes part in
             gram, pull = 0.5 * np.eye(BOOKS * WORDS), 0.5 * np.concatenate(books[1:]).astype(np.float64)
-            for at in range(0, len(x), FIT_STEP):
-                hot = np.zeros((len(place[at : at + FIT_STEP]), BOOKS * WORDS), np.float32)
-                np.put_along_axis(hot, place[at : at + FIT_STEP], 1.0, 1)
-                gram += hot.T @ hot
-                pull += hot.T @ target[at : at + FIT_STEP]
+            for m in range(BOOKS):
+                mine = codes[:, m + 1].astype(np.int64)
+                np.add.at(pull, m * WORDS + mine, target)
+                for n in range(BOOKS):
+                    met = np.bincount(mine * WORDS + codes[:, n + 1], minlength=WORDS * WORDS)
+                    gram[m * WORDS : (m + 1) * WORDS, n * WORDS : (n + 1) * WORDS] += met.reshape(WORDS, WORDS)
             solved = np.linalg.solve(gram, pull)
             books = [books[0], *np.split(solved.astype(np.float32), BOOKS)]
         return cls(books, 1 if total <= 4 * MAX_LISTS * LIST_ROWS else 2)
