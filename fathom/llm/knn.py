@@ -2,9 +2,8 @@
 
 Method: additive quantisation. A vector is approximated by a sum of full-dimensional
 codewords, one of each codebook; codes are found by beam search, the codebooks by
-alternating encoding and joint least squares on a bounded sample. The first code (with
-very many vectors the first two) names a list; a vector is stored in the lists of its two
-best beams. A query goes to the lists of its best beams; there, tables of its inner
+alternating encoding and joint least squares on a bounded sample. The first code names a
+list, however many vectors there are; a vector is stored in the lists of its two best beams. A query goes to the lists of its best beams; there, tables of its inner
 products with all codewords and the stored norms score the codes, and the best scores are
 reranked on the exact vectors.
 
@@ -34,7 +33,7 @@ FIT_ROWS = 1 << 15
 FIT_STEP = 2048
 #: Residual codebooks and their codewords, beams of the encoder.
 BOOKS, WORDS, BEAMS = 6, 256, 4
-#: Vectors of a list, on average; lists of one level, at most; vectors and queries of one task's block, at most.
+#: Vectors of a list, on average; lists, at most (with more vectors lists grow longer); vectors and queries of one task's block, at most.
 LIST_ROWS, MAX_LISTS, BLOCK_ROWS, BLOCK_QUERIES = 500, 4096, 8192, 1 << 16
 #: Bytes of packed queries that ``search`` may broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -82,10 +81,9 @@ def encode_steps(x: np.ndarray, books: list[np.ndarray], beams: int) -> tuple[np
 
 @dataclass
 class Codebooks:
-    """``books[0]`` has the lists' centres; the first ``depth`` codes name a list."""
+    """``books[0]`` has the lists' centres; the first code names a list."""
 
     books: list[np.ndarray]
-    depth: int
 
     @classmethod
     def fit(cls, x: np.ndarray, total: int, seed: int = 7) -> Codebooks:
@@ -108,12 +106,11 @@ class Codebooks:
                     gram[m * WORDS : (m + 1) * WORDS, n * WORDS : (n + 1) * WORDS] += met.reshape(WORDS, WORDS)
             solved = np.linalg.solve(gram, pull)
             books = [books[0], *np.split(solved.astype(np.float32), BOOKS)]
-        return cls(books, 1 if total <= 4 * MAX_LISTS * LIST_ROWS else 2)
+        return cls(books)
 
     def cells(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The lists of the best beams of each vector, the best first."""
-        codes = beam_encode(x, self.books[: self.depth], probes)[0]
-        return codes[:, :, 0] if self.depth == 1 else codes[:, :, 0] * WORDS + codes[:, :, 1]
+        return beam_encode(x, self.books[:1], probes)[0][:, :, 0]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each of its best lists (n, spills) a vector's codes of the residual codebooks, and the norm of the approximation."""
@@ -122,19 +119,10 @@ class Codebooks:
         return cells, np.stack([c for c, _ in parts], 1), np.stack([n for _, n in parts], 1)
 
     def _encode_in(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self.depth == 1:
-            first = cell
-            codes, left = beam_encode(x - self.books[0][first], self.books[1:], BEAMS)
-            codes, left = codes[:, 0], left[:, 0]
-        else:
-            first, second = cell // WORDS, cell % WORDS
-            codes, left = beam_encode(x - self.books[0][first] - self.books[1][second], self.books[2:], BEAMS)
-            codes, left = np.concatenate([second[:, None], codes[:, 0]], 1), left[:, 0]
+        codes, left = beam_encode(x - self.books[0][cell], self.books[1:], BEAMS)
+        codes, left = codes[:, 0], left[:, 0]
         return codes.astype(np.uint8), np.linalg.norm(x - left, axis=1).astype(np.float32)
 
-    def first(self, cell: np.ndarray) -> np.ndarray:
-        return cell if self.depth == 1 else cell // WORDS
-
 
 def search_block(books: Codebooks, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, first: np.ndarray, norms: np.ndarray, vectors: np.ndarray, keep: int, shortlist: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For queries q the best rows of a block: (query row, place in the block, exact similarity)."""
@@ -238,7 +226,7 @@ class VectorIndex:
             if not left.num_rows or not right.num_rows:
                 return empty
             ids, cell = right.column("id").to_numpy(), right.column("cell").to_numpy()
-            q, d, s = search_block(books, _matrix(left.column("vector"), dim), ids, _matrix(right.column("code"), BOOKS, np.uint8), books.first(cell), right.column("norm").to_numpy(), _matrix(right.column("vector"), dim), k + 1, shortlist)
+            q, d, s = search_block(books, _matrix(left.column("vector"), dim), ids, _matrix(right.column("code"), BOOKS, np.uint8), cell, right.column("norm").to_numpy(), _matrix(right.column("vector"), dim), k + 1, shortlist)
             own = left.column("id").to_numpy()[q]
             good = (s >= least) & (own != ids[d])
             return pa.table({"id": own[good], "neighbour": ids[d][good], "similarity": s[good]})
@@ -286,7 +274,7 @@ class VectorIndex:
                 for r in range(batch.num_rows):
                     qid, qv, ids, cell, code, norm, vec = (batch.column(c)[r].as_buffer() for c in range(7))
                     qid, ids = np.frombuffer(qid, np.int64), np.frombuffer(ids, np.int64)
-                    q, d, s = search_block(books, np.frombuffer(qv, np.float32).reshape(-1, dim), ids, np.frombuffer(code, np.uint8).reshape(-1, BOOKS), books.first(np.frombuffer(cell, np.int32)), np.frombuffer(norm, np.float32), np.frombuffer(vec, np.float32).reshape(-1, dim), k + 1, shortlist)
+                    q, d, s = search_block(books, np.frombuffer(qv, np.float32).reshape(-1, dim), ids, np.frombuffer(code, np.uint8).reshape(-1, BOOKS), np.frombuffer(cell, np.int32), np.frombuffer(norm, np.float32), np.frombuffer(vec, np.float32).reshape(-1, dim), k + 1, shortlist)
                     good = qid[q] != ids[d]
                     yield pa.RecordBatch.from_arrays([pa.array(qid[q][good]), pa.array(ids[d][good]), pa.array(s[good])], names=["id", "neighbour", "similarity"])
 

@@ -61,6 +61,17 @@ def test_copies(spark, small_lists):
     assert all(a < b for a, b in ((r.a, r.b) for r in knn.linked_pairs(index.similar(3, 0.9)).collect()))
 
 
+def test_many_vectors_keep_one_level_of_lists(spark, monkeypatch):
+    for name, value in (("LIST_ROWS", 2), ("MAX_LISTS", 8), ("WORDS", 32)):
+        monkeypatch.setattr(knn, name, value)
+    x = vectors()  # far more than the lists hold at LIST_ROWS
+    index = knn.VectorIndex(frame(spark, x), dim=16)
+    assert index._stored(True).select("cell").distinct().count() <= 8
+    want = nearest(x, 5)
+    got = {(r.id, r.neighbour) for r in index.similar(5).collect()}
+    assert len(got & want) >= 0.97 * len(want)
+
+
 def test_no_vectors(spark):
     index = knn.VectorIndex(frame(spark, np.zeros((0, 16), np.float32)), dim=16)
     assert index.similar().count() == 0 and index.search(index.all.select("id", "vector")).count() == 0
