@@ -257,7 +257,7 @@ class VectorIndex:
         For a stated set of queries: packed blocks of queries meet packed blocks of rows. Queries of up to
         ``BROADCAST_BYTES`` go to all tasks; beyond that, partitions meet pairwise.
         """
-        books, dim = self.books, self.dim
+        books, dim, has_copies = self.books, self.dim, self.has_copies
 
         def pack(columns: tuple[str, ...], rows: int):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +275,7 @@ class VectorIndex:
                     qid, qv, ids, cell, code, norm, vec = (batch.column(c)[r].as_buffer() for c in range(7))
                     qid, ids = np.frombuffer(qid, np.int64), np.frombuffer(ids, np.int64)
                     q, d, s = search_block(books, np.frombuffer(qv, np.float32).reshape(-1, dim), ids, np.frombuffer(code, np.uint8).reshape(-1, BOOKS), np.frombuffer(cell, np.int32), np.frombuffer(norm, np.float32), np.frombuffer(vec, np.float32).reshape(-1, dim), k + 1, shortlist)
-                    good = qid[q] != ids[d]
+                    good = (qid[q] != ids[d]) | has_copies  # a query that heads copies leads to them by itself
                     yield pa.RecordBatch.from_arrays([pa.array(qid[q][good]), pa.array(ids[d][good]), pa.array(s[good])], names=["id", "neighbour", "similarity"])
 
         asked = queries.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(pack(("id", "vector"), 1024), "id binary, vector binary").toDF("qid", "qv")

@@ -61,6 +61,17 @@ def test_copies(spark, small_lists):
     assert all(a < b for a, b in ((r.a, r.b) for r in knn.linked_pairs(index.similar(3, 0.9)).collect()))
 
 
+def test_search_finds_the_copies_of_a_head(spark, small_lists):
+    x = vectors(60)
+    index = knn.VectorIndex(frame(spark, x, [(100 + i, x[0].tolist()) for i in range(9)]), dim=16)
+    got = {}
+    for r in index.search(index.all.where("id IN (0, 1, 108)").select("id", "vector"), 3).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.neighbour))
+    assert sorted(got[0]) == [(1, 100), (2, 101), (3, 102)]
+    assert sorted(got[108]) == [(1, 0), (2, 100), (3, 101)]
+    assert len(got[1]) == 3 and 1 not in {n for _, n in got[1]}
+
+
 def test_many_vectors_keep_one_level_of_lists(spark, monkeypatch):
     for name, value in (("LIST_ROWS", 2), ("MAX_LISTS", 8), ("WORDS", 32)):
         monkeypatch.setattr(knn, name, value)
