@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fathom.operators import crawl, index, serving
@@ -49,6 +50,14 @@ def test_crawl(spark):
     assert crawl.reachable(seeds.limit(0), crawl.resolved_links(links)).count() == 0
 
 
+def test_crawl_goes_on_until_nothing_is_new(spark):
+    links = spark.createDataFrame([(f"https://h/{i}", f"https://h/{i + 1}") for i in range(53)], "src string, dst string")
+    seeds = spark.createDataFrame([("https://h/0",)], "url string")
+    assert {(r.url, r.depth) for r in crawl.reachable(seeds, links).collect()} == {(f"https://h/{i}", i) for i in range(54)}
+    with pytest.raises(RuntimeError):
+        crawl.reachable(seeds, links, max_depth=2)
+
+
 def test_caches():
     now = [0.0]
     cache = serving.SearchCache(2, 10, lambda: now[0])
