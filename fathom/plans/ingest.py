@@ -143,10 +143,10 @@ def bfs_reachable(spark, sf_dir):
 
 @query()
 def crawl_in_scope(spark, sf_dir):
-    """All anchors resolved against their pages; the crawl stays on the seeds' hosts."""
+    """The whole table's crawl: every service's documents are seeds, all anchors are resolved against their pages; it stays below the seeds' directories."""
     t = Tables(spark, sf_dir)
     links = crawl.resolved_links(t.page_link)
-    seeds = t.documents.where("service_name = 'queuely'").select("url").distinct()
+    seeds = t.documents.where("url IS NOT NULL").select("url").distinct()
     prefixes = seeds.select(U.scope_prefix(F.col("url")).alias("prefix")).distinct()
     return crawl.reachable(seeds, links, prefixes)
 

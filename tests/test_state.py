@@ -1,10 +1,12 @@
 import datetime as dt
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fathom.operators import crawl, index, serving
+from fathom.plans import ingest as ingest_plans
 from fathom.schemas import initialize
 from fathom.sources import tables
 from fathom.streaming import ingest
@@ -58,6 +60,19 @@ def test_crawl_goes_on_until_nothing_is_new(spark):
         crawl.reachable(seeds, links, max_depth=2)
 
 
+def test_crawl_in_scope_takes_the_whole_table(spark, tmp_path):
+    docs = [("https://a.docs/x/1.html", "queuely"), ("https://b.docs/y/1.html", "keyward"), ("https://c.docs/z/1.html", None), (None, "keyward")]
+    links = [("https://a.docs/x/1.html", "2.html"), ("https://b.docs/y/1.html", "sub/2.html"), ("https://b.docs/y/sub/2.html", "../3.html"), ("https://b.docs/y/3.html", "https://a.docs/x/4.html"), ("https://c.docs/z/1.html", "/z/2.html"), ("https://c.docs/z/2.html", "/out.html"), ("https://c.docs/z/2.html", "5.pdf"), ("https://b.docs/y/9.html", "10.html"), (None, "2.html"), ("https://c.docs/z/1.html", None)]
+    spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id long, url string, service_name string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(links, "page_url string, href string").write.parquet(str(tmp_path / "page_link.parquet"))
+    want, level = {}, {u for u, _ in docs if u}
+    scope = tuple(u.rsplit("/", 1)[0] for u in level)
+    while level:
+        want |= {u: max(want.values(), default=-1) + 1 for u in level}
+        level = {v for p, h in links if p in level and h and (v := urljoin(p, h)).startswith(scope) and not v.endswith(".pdf")} - set(want)
+    assert len(want) == 8 and {r.url: r.depth for r in ingest_plans.crawl_in_scope(spark, str(tmp_path)).collect()} == want
+
+
 def test_caches():
     now = [0.0]
     cache = serving.SearchCache(2, 10, lambda: now[0])
