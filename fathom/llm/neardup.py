@@ -14,8 +14,9 @@ exactly instead, by the prefixes of their shingles ordered by rarity.
 
 Defined results: rows of null id and texts that are null, empty or under ``min_words`` words take part in
 nothing; rows that repeat an id count once; copies are linked among each other up to
-``expand_copies`` copies of a text, beyond that each copy with its representative (the
-least id), while ``duplicate_groups`` counts all links; empty tables give empty tables.
+``expand_copies`` rows of the very same text, beyond that each with its representative (the
+least id), while ``duplicate_groups`` counts all links; texts that differ in anything are
+linked each by itself; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ class _Sketched:
 
 
 def sketch(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: int, bands: int, rows: int) -> DataFrame:
-    """(id, class, keys): the class of each text that takes part, and the key of each band of its signature."""
+    """(id, class, keys, same): the class of each text that takes part, and the key of each band of its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = kernel.mix(np.arange(1, bands + 1, dtype=np.uint64))
@@ -103,10 +104,10 @@ def sketch(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: i
                 for r in range(rows):
                     key = kernel.mix(key * np.uint64(0x9FB21C651E98DF25) + sig[:, :, r])
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(kernel.signed(key.ravel())), bands)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + s.rows)), pa.array(kernel.signed(s.classes)), keys.cast(pa.list_(pa.int64()))], names=["id", "class", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + s.rows)), pa.array(kernel.signed(s.classes)), keys.cast(pa.list_(pa.int64())), batch.column(2).take(pa.array(lo + s.rows))], names=["id", "class", "keys", "same"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where((F.length("text") > 0) & F.col("id").isNotNull()).mapInArrow(run, f"id {kind}, class long, keys array<long>")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("same")).where((F.length("text") > 0) & F.col("id").isNotNull()).mapInArrow(run, f"id {kind}, class long, keys array<long>, same long")
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int, min_words: int, hashes: int) -> DataFrame:
@@ -213,7 +214,8 @@ class NearDuplicates:
         exact_unions(df.sparkSession)
         self.expand_copies = expand_copies
         sketches = materialize(sketch(df, id_col, text_col, shingle, min_words, bands, rows), "sketches")
-        self.members = sketches.groupBy("id").agg(F.min("class").alias("class"))
+        # ``same`` is equal for texts that are equal character for character
+        self.members = sketches.groupBy("id").agg(F.min(F.struct("class", "same")).alias("m")).select("id", "m.class", "m.same")
         # Keys are counted before rows are joined to the counts: the count combines before its shuffle, and a key that
         # a third of all rows have is split in the join. Copies count here too and fall out of the distinct rows.
         bands_of = sketches.select(F.explode("keys").alias("key"), "class")
@@ -239,16 +241,15 @@ class NearDuplicates:
 
     def pairs(self) -> DataFrame:
         """(a, b) with a < b: linked ids, copies included as the module's docstring says."""
-        sized = self.members.groupBy("class").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
-        crowd = sized.where(F.col("copies") > self.expand_copies).select("class", "head")
-        plain = self.members.join(crowd, "class", "left_anti")
-        # a crowd stands for itself by its head in links to other texts
-        nodes = plain.unionByName(crowd.select(F.col("head").alias("id"), "class"))
+        sized = self.members.groupBy("class", "same").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
+        crowd = sized.where(F.col("copies") > self.expand_copies).select("class", "same", "head")
+        # a crowd of the very same text stands for itself by its head in links to other texts, those of its class too
+        nodes = self.members.join(crowd, ["class", "same"], "left").where("head IS NULL OR id = head").select("id", "class")
         left, right = nodes.select(F.col("id").alias("x"), F.col("class").alias("a")), nodes.select(F.col("id").alias("y"), F.col("class").alias("b"))
         between = self.links.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-        copied = plain.join(sized.where((F.col("copies") > 1) & (F.col("copies") <= self.expand_copies)).select("class"), "class", "left_semi")
+        copied = nodes.join(nodes.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class"), "class", "left_semi")
         within = copied.select("class", F.col("id").alias("x")).join(copied.select("class", F.col("id").alias("y")), "class").where("x < y").select("x", "y")
-        crowded = self.members.join(crowd, "class").where("id != head").select(F.col("head").alias("x"), F.col("id").alias("y"))
+        crowded = self.members.join(crowd, ["class", "same"]).where("id != head").select(F.col("head").alias("x"), F.col("id").alias("y"))
         return between.unionByName(within).unionByName(crowded).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def groups(self) -> DataFrame:
