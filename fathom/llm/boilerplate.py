@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from fathom.llm import kernel
 
-#: Labelled pages to train on, at most (the bound of what comes to the driver), and the characters of each, at most.
-TRAIN_PAGES, TRAIN_CHARS = 1500, 20_000
+#: Labelled pages to train on, at most (the bound of what comes to the driver), and the characters of all of them together, at most.
+TRAIN_PAGES, TRAIN_TOTAL = 1500, 30_000_000
 #: Size of the table of hashed features, and pages processed at once.
 BITS, STEP = 18, 128
 #: A text whose neighbouring words together say chrome by this logarithm is chrome in training, whatever holds it.
@@ -311,7 +311,7 @@ class Model:
         for at in range(0, len(pages), STEP):
             f = Forest()
             for p in pages[at : at + STEP]:
-                f.scan(p[:TRAIN_CHARS])
+                f.scan(p)
             label, told = page_labels(f)
             for named in (True, False):
                 x = Features(f, named)
@@ -373,14 +373,24 @@ class Model:
         return weights
 
 
-def training_pages(df: DataFrame, html_col: str, limit: int = TRAIN_PAGES) -> list[str]:
-    """Pages whose markup names a main part: at most ``limit``, those of the least hashes of their html."""
+def training_pages(df: DataFrame, html_col: str, limit: int = TRAIN_PAGES, chars: int = TRAIN_TOTAL) -> list[str]:
+    """Whole pages whose markup names a main part: at most ``limit``, those of the least hashes of their html.
+
+    Of these, a page that would bring them over ``chars`` characters in all is left out; a single page may be longer.
+    """
     marked = df.select(F.col(html_col).alias("html")).where(F.col("html").rlike(r"(?i)<main\b|<article\b|(?:id|class|role)=[\"']?main"))
-    hashed = marked.select(F.substring("html", 1, TRAIN_CHARS).alias("html"), F.xxhash64("html").alias("h"))
+    hashed = marked.select("html", F.xxhash64("html").alias("h"), F.length("html").alias("chars"))
     n = hashed.count()
     if n > 2 * limit:  # a share that holds the limit with room to spare, so that no task sends more than it must
         hashed = hashed.where(F.pmod("h", F.lit(1 << 20)) <= int((1 << 20) * 1.5 * limit / n))
-    return [r.html for r in hashed.distinct().orderBy("h", "html").limit(limit).collect()]
+    keys, total, chosen = hashed.select("h", "chars").distinct().orderBy("h", "chars").limit(limit).collect(), 0, []
+    for h, size in keys:
+        if total + size <= chars:
+            total += size
+            chosen.append(h)
+    if keys and not chosen:
+        chosen = [min(keys, key=lambda r: (r.chars, r.h)).h]
+    return [r.html for r in hashed.where(F.col("h").isin(chosen)).select("h", "html").distinct().orderBy("h", "html").collect()]
 
 
 def main_blocks(df: DataFrame, id_col: str = "crawl_id", html_col: str = "html", train_pages: int = TRAIN_PAGES, least: float = 0.5) -> DataFrame:

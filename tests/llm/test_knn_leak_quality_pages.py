@@ -196,6 +196,22 @@ def test_main_blocks(spark):
     assert boilerplate.main_blocks(df.limit(0)).count() == 0
 
 
+def test_long_pages_are_learned_from_whole(spark):
+    """The main part begins after a long script in the head."""
+    late = lambda i, named: page(i, named).replace("<script>", "<script>" + "var b = 1;\n" * 2500)
+    rows = [(i, late(i, i % 2 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "crawl_id long, html string")
+    whole = {h for i, h in rows if i % 2 == 0}
+    assert set(boilerplate.training_pages(df, "html")) == whole
+    got = {}
+    for r in boilerplate.main_blocks(df).collect():
+        got.setdefault(r.crawl_id, {})[r.block_no] = r.tag
+    assert sum(got.get(i) == {2: "h1", 3: "p", 4: "th", 5: "th", 6: "td", 8: "p", 9: "pre"} for i in range(60)) >= 57
+    some = boilerplate.training_pages(df, "html", chars=100_000)
+    assert len(some) == 3 and set(some) < whole
+    assert len(boilerplate.training_pages(df, "html", chars=10)) == 1
+
+
 def test_messages_equal_brute_force():
     """Marginals on a small tree against the sum over all labellings."""
     f = boilerplate.Forest()
