@@ -238,6 +238,15 @@ def sse_decode(spark, sf_dir):
     return docs.select("doc_id", F.inline(P.sse_parse(stream))).where("event = 'chunk'")
 
 
+@query("SELECT doc_id, 'chunk' AS event, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS data FROM documents WHERE text IS NOT NULL")
+def sse_decode_all(spark, sf_dir):
+    """All documents through a stream. CR ends a line there, so every line end is put in as LF and comes out as LF."""
+    docs = Tables(spark, sf_dir).documents.where("text IS NOT NULL")
+    data = F.regexp_replace("text", "\r\n?", "\n")
+    stream = F.concat(F.lit(": comment\n"), P.sse_event(F.lit("chunk"), data), P.sse_event(F.lit("done"), F.lit(None).cast("string")))
+    return docs.select("doc_id", F.inline(P.sse_parse(stream))).where("event = 'chunk'")
+
+
 @query("SELECT CAST(item_id AS BIGINT) + 1000 AS query_id, 'No matching documentation was found for this question.' AS answer FROM eval_item WHERE lower(query) NOT LIKE '% %' UNION ALL SELECT 4, 'No matching documentation was found for this question.'")
 def empty_answer(spark, sf_dir):
     t = Tables(spark, sf_dir)

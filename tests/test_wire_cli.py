@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fathom import cli
 from fathom.functions import presentation as P
 from fathom.functions import wire
+from fathom.plans import registry
 from fathom.sources import tables
 
 
@@ -44,3 +45,10 @@ def test_cli(spark, tmp_path, monkeypatch):
     assert cli.main(["stats", *store]) == {"totals": {"documents": 1, "chunks": 1}, "services": [{"service_name": "s", "documents": 1, "chunks": 1}]}
     assert cli.main(["crawl", *store, "--links", str(tmp_path / "links"), "--services", "IAM"])["urls"] == 1
     assert cli.main(["health", *store]) == {"session": "ok", "store": "ok"}
+
+
+def test_decoded_stream_holds_every_document(spark, tmp_path):
+    texts = ["a\r\nb\rc\n\nd", "\r", "", "data: x\r\revent: y", "plain", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.data for r in registry.queries()["sse_decode_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: t.replace("\r\n", "\n").replace("\r", "\n") for i, t in enumerate(texts) if t is not None}
