@@ -39,6 +39,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks without the lines that p5_found names."""
+    from fathom.llm.lines import without_repeated
+
+    chunks = table(spark, sf_dir, "chunks")
+    return without_repeated(chunks.select("chunk_id", "text"), p5_found(spark, sf_dir).withColumnRenamed("chunk_id", "id"))
+
+
+def p5_clean_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks without the lines of whole clusters: near-copies that stand in few documents each go as well."""
     from fathom.llm.lines import without_repeated
 
     chunks = table(spark, sf_dir, "chunks")
@@ -124,26 +133,33 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_duplicates(spark, sf_dir).groups().withColumnRenamed("id", "chunk_id")
 
 
+_REPEATED_SQL = r"""
+    WITH split AS (
+        SELECT chunk_id, document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+        FROM chunks WHERE chunk_type = 'prose' AND text IS NOT NULL
+    ), lines AS (
+        SELECT chunk_id, document_id, line_no, regexp_replace(lower(line), '[^\p{L}]', '', 'g') AS letters FROM split
+    ), enough AS (
+        SELECT * FROM lines WHERE length(letters) >= 12
+    ), often AS (
+        SELECT list({'chunk_id': chunk_id, 'line_no': line_no}) AS places
+        FROM enough JOIN (SELECT doc_id, service_name FROM documents WHERE service_name IS NOT NULL) d ON doc_id = document_id
+        GROUP BY service_name, letters HAVING count(DISTINCT document_id) >= 5
+    ), flat AS (SELECT unnest(places) AS place FROM often)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_blocks, p2_found, p3_found, p3_neighbours, p4_found, p4_groups, p5_clean, p5_found, p5_lines, p6_ids, p7_found, p7_leaks, p8_counts, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_blocks, p2_found, p3_found, p3_neighbours, p4_found, p4_groups, p5_clean, p5_clean_near, p5_found, p5_lines, p6_ids, p7_found, p7_leaks, p8_counts, p8_found, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p5_found": r"""
-            WITH split AS (
-                SELECT chunk_id, document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
-                FROM chunks WHERE chunk_type = 'prose' AND text IS NOT NULL
-            ), lines AS (
-                SELECT chunk_id, document_id, line_no, regexp_replace(lower(line), '[^\p{L}]', '', 'g') AS letters FROM split
-            ), enough AS (
-                SELECT * FROM lines WHERE length(letters) >= 12
-            ), often AS (
-                SELECT list({'chunk_id': chunk_id, 'line_no': line_no}) AS places
-                FROM enough JOIN (SELECT doc_id, service_name FROM documents WHERE service_name IS NOT NULL) d ON doc_id = document_id
-                GROUP BY service_name, letters HAVING count(DISTINCT document_id) >= 5
-            ), flat AS (SELECT unnest(places) AS place FROM often)
-            SELECT DISTINCT place.chunk_id AS chunk_id, CAST(place.line_no AS INTEGER) AS line_no FROM flat
+        "p5_found": _REPEATED_SQL + "SELECT DISTINCT place.chunk_id AS chunk_id, CAST(place.line_no AS INTEGER) AS line_no FROM flat",
+        "p5_clean": _REPEATED_SQL
+        + """, gone AS (SELECT place.chunk_id AS chunk_id, list(DISTINCT place.line_no + 1) AS g FROM flat GROUP BY 1)
+            SELECT c.chunk_id, CASE WHEN g IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(g, i)), chr(10)) END AS text, CAST(coalesce(len(g), 0) AS INTEGER) AS lines_removed
+            FROM chunks c LEFT JOIN gone USING (chunk_id)
         """,
         "p3_found": """
             WITH v AS (
