@@ -105,12 +105,19 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fathom.llm.knn import VectorIndex, linked_pairs
+    from fathom.llm.knn import NEAR, VectorIndex, linked_pairs
 
-    near = VectorIndex(table(spark, sf_dir, "chunks")).similar(k=5, least=0.9)
+    near = VectorIndex(table(spark, sf_dir, "chunks"), **NEAR).similar(k=5, least=0.9, shortlist=48)
     return linked_pairs(near).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+def p3_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest chunks of every chunk, however far they are."""
+    from fathom.llm.knn import VectorIndex
+
+    return VectorIndex(table(spark, sf_dir, "chunks")).similar(k=5)
+
+
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest chunks of every chunk whose id is divisible by 20, against all chunks."""
     from fathom.llm.knn import VectorIndex
@@ -150,7 +157,7 @@ _REPEATED_SQL = r"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_blocks, p2_found, p3_found, p3_neighbours, p4_found, p4_groups, p5_clean, p5_clean_near, p5_found, p5_lines, p6_ids, p7_found, p7_leaks, p8_counts, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_blocks, p2_found, p3_found, p3_neighbours, p3_similar, p4_found, p4_groups, p5_clean, p5_clean_near, p5_found, p5_lines, p6_ids, p7_found, p7_leaks, p8_counts, p8_found, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -227,3 +227,15 @@ def test_messages_equal_brute_force():
         total += weight
         one += weight * np.array(y)
     assert np.allclose(boilerplate.marginals(x, score, pair), one / total)
+
+
+def test_similar_finds_far_neighbours_too(spark, monkeypatch):
+    """Without a threshold nine in ten of all true neighbours are found, with many lists as well."""
+    monkeypatch.setattr(knn, "WORDS", 64)
+    x = np.random.default_rng(11).normal(size=(4000, 24)).astype(np.float32)
+    want = nearest(x, 5)
+    for list_rows in (400, 60):
+        index = knn.VectorIndex(frame(spark, x), dim=24, list_rows=list_rows)
+        got = {(r.id, r.neighbour) for r in index.similar(5).collect()}
+        assert len(got & want) >= 0.9 * len(want), (list_rows, len(got & want) / len(want))
+    assert [knn.probes_for(n) for n in (1, 28, 277, 4096)] == sorted(knn.probes_for(n) for n in (1, 28, 277, 4096))
