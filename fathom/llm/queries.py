@@ -86,8 +86,10 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistics alone that SQL can count too."""
-    rated = p8_stats(spark, sf_dir)
-    return rated.select("doc_id", "word_count", F.round("mean_word_length", 6).alias("mean_word_length"), F.round("common_word_share", 6).alias("common_word_share"))
+    from fathom.llm.quality import document_statistics
+
+    counted = document_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word"))
+    return counted.select("doc_id", "word_count", F.round("mean_word_length", 6).alias("mean_word_length"), F.round("common_word_share", 6).alias("common_word_share"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +142,13 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_duplicates(spark, sf_dir).groups().withColumnRenamed("id", "chunk_id")
 
 
+_LEAK_SQL = r"""
+WITH items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_item WHERE text IS NOT NULL),
+sized AS (SELECT item_id, w, least(12, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS g FROM sized),
+docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+grams AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS g FROM docs CROSS JOIN (SELECT DISTINCT n FROM sized) WHERE len(w) >= n)
+"""
 _REPEATED_SQL = r"""
     WITH split AS (
         SELECT chunk_id, document_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
@@ -192,13 +201,13 @@ def oracle_sql() -> dict[str, str]:
             shared AS (SELECT p.a, p.b, p.na, p.nb, count(*) AS common FROM pairs p JOIN g x ON x.chunk_id = p.a JOIN g y ON y.chunk_id = p.b AND y.g = x.g GROUP BY ALL)
             SELECT a AS chunk_id_a, b AS chunk_id_b FROM shared WHERE common >= 0.6 * (na + nb - common)
         """,
-        "p7_found": r"""
-            WITH items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_item WHERE text IS NOT NULL),
-            sized AS (SELECT item_id, w, least(12, len(w)) AS n FROM items WHERE len(w) > 0),
-            windows AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS g FROM sized),
-            docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
-            grams AS (SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS g FROM docs CROSS JOIN (SELECT DISTINCT n FROM sized) WHERE len(w) >= n)
-            SELECT DISTINCT doc_id, item_id FROM grams JOIN windows USING (n, g)
+        "p7_found": _LEAK_SQL + "SELECT DISTINCT doc_id, item_id FROM grams JOIN windows USING (n, g)",
+        "p7_leaks": _LEAK_SQL
+        + """, places AS (SELECT item_id, n, len(w) AS words, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS g FROM sized),
+            met AS (SELECT DISTINCT doc_id, item_id, n, words, i FROM grams JOIN places USING (n, g)),
+            counted AS (SELECT doc_id, item_id, count(*) AS windows FROM met GROUP BY 1, 2),
+            covered AS (SELECT doc_id, item_id, count(DISTINCT word) / any_value(words) AS covered FROM (SELECT doc_id, item_id, words, unnest(range(i, i + n)) AS word FROM met) GROUP BY 1, 2)
+            SELECT doc_id, item_id, windows, covered FROM counted JOIN covered USING (doc_id, item_id)
         """,
         "p8_counts": r"""
             WITH common AS (SELECT list(DISTINCT lower(trim(word))) AS c FROM common_word WHERE trim(word) <> ''),
