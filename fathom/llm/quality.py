@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from fathom.llm import kernel
 from fathom.session import materialize
 
-#: Common words come as a broadcast set; a table beyond this number of rows is refused.
-MAX_COMMON_WORDS = 100_000
+#: Common words up to this number are sent to the workers as hashes of 8 bytes; more are joined to the words of the texts by shuffle.
+BROADCAST_WORDS = 100_000
 VOTES = ("common", "kana", "ends", "symbols", "digits", "length", "repeats", "lines", "glyphs")
 #: How a good vote is believed at the start: the chance that it is right, when it is cast.
 START = 0.8
@@ -60,7 +60,32 @@ def _vote(yes: np.ndarray, no: np.ndarray) -> np.ndarray:
     return np.where(yes, 2, np.where(no, 1, 0)).astype(np.int32)
 
 
-def rate_block(texts: list[str | None], common: kernel.HashSet) -> dict[str, list]:
+class OwnSets:
+    """Common words that each text of a block brings along, in the place of one set for all."""
+
+    def __init__(self, lists: pa.ListArray) -> None:
+        counts = np.diff(lists.offsets.to_numpy())
+        self.members = kernel.HashSet(self._key(lists.flatten().to_numpy().astype(np.int64).view(np.uint64), np.repeat(np.arange(len(counts)), counts)))
+
+    @staticmethod
+    def _key(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        return kernel.mix(hashes + kernel.mix(doc.astype(np.uint64) + np.uint64(1)))
+
+    def of(self, w: kernel.Words) -> np.ndarray:
+        return self.members.positions(self._key(w.hash, w.doc))
+
+
+class OneSet:
+    """Common words that are the same for all texts."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.members = kernel.HashSet(hashes)
+
+    def of(self, w: kernel.Words) -> np.ndarray:
+        return self.members.positions(w.hash)
+
+
+def rate_block(texts: list[str | None], common: OneSet | OwnSets) -> dict[str, list]:
     """Statistics of each text, and its characters and segments by voting pattern."""
     clean = [t.replace("\r\n", "\n").replace("\r", "\n").replace(" ", "\n").replace("\x85", "\n") if t else t for t in texts]
     w = kernel.words(clean)
@@ -71,7 +96,7 @@ def rate_block(texts: list[str | None], common: kernel.HashSet) -> dict[str, lis
     alnum = flags & kernel.ALNUM > 0
     symbol = solid & ~alnum
     is_common = np.zeros(len(w.hash), bool)
-    is_common[common.positions(w.hash)] = True
+    is_common[common.of(w)] = True
 
     def cum(x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x) + 1, np.int64)
@@ -212,32 +237,69 @@ def learn(pattern: np.ndarray, weight: np.ndarray, rounds: int = 200) -> tuple[n
     return theta, prior, post
 
 
-def rate_documents(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_col: str = "word") -> DataFrame:
-    """(id, word_count, mean_word_length, symbol_ratio, punct_line_share, common_word_share, prose_share, text_type).
+def _with_own_words(df: DataFrame, hashes: DataFrame, text_col: str) -> DataFrame:
+    """The rows with ``_own``: the hashes of those of their words that are in the table of hashes (h)."""
 
-    prose_share is the posterior share of the characters, white space aside, that belong to
-    running prose; text_type is prose, other or empty. One pass over the texts, no shuffle
-    but that of the pattern counts, of which there are at most 3 to the power of the votes.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for lo, hi in kernel.blocks(texts):
+                w = kernel.words(texts[lo:hi])
+                order = np.lexsort((w.hash, w.doc))
+                doc, h = w.doc[order], w.hash[order]
+                fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(doc) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + doc[fresh])), pa.array(kernel.signed(h[fresh]))], names=["key", "h"])
+
+    keyed = df.withColumn("_key", F.xxhash64(text_col))
+    pairs = keyed.select("_key", text_col).where(F.length(text_col) > 0).mapInArrow(run, "key long, h long").join(hashes, "h", "left_semi").distinct()
+    own = pairs.groupBy(F.col("key").alias("_key")).agg(F.collect_list("h").alias("_own"))
+    return keyed.join(own, "_key", "left").withColumn("_own", F.coalesce("_own", F.array().cast("array<bigint>"))).drop("_key")
+
+
+def _word_hashes(common_words: DataFrame, word_col: str) -> DataFrame:
+    """(h) of the distinct common words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(kernel.signed(kernel.words(batch.column(0).to_pylist()).hash))], names=["h"])
+
+    return common_words.select(F.lower(F.trim(word_col)).alias("w")).where(F.length("w") > 0).mapInArrow(run, "h long").distinct()
+
+
+def document_statistics(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_col: str = "word", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """(id, word_count, mean_word_length, symbol_ratio, punct_line_share, common_word_share, patterns, chars, segments).
+
+    One pass over the texts, no shuffle; with more than ``broadcast_words`` common words, one join of the distinct words of each text.
     """
-    rows = common_words.select(F.lower(F.trim(word_col)).alias("w")).where(F.length("w") > 0).distinct().limit(MAX_COMMON_WORDS + 1).collect()
-    if len(rows) > MAX_COMMON_WORDS:
-        raise ValueError(f"more than {MAX_COMMON_WORDS} common words")
-    hashes = np.concatenate([kernel.words([r.w]).hash for r in rows] or [np.empty(0, np.uint64)])
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *STATS])
+    words = materialize(_word_hashes(common_words, word_col), "common-words")
+    few = words.count() <= broadcast_words
+    hashes = words.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64) if few else None
+    rows = df.select(F.col(id_col), F.col(text_col)) if few else _with_own_words(df.select(F.col(id_col), F.col(text_col)), words, text_col)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = kernel.HashSet(hashes)
+        common = OneSet(hashes) if few else None
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in kernel.blocks(texts):
-                out = rate_block(texts[lo:hi], common)
+                out = rate_block(texts[lo:hi], common or OwnSets(batch.column(2).slice(lo, hi - lo)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *out.values()], names=[id_col, *out])
 
-    stats = materialize(df.select(id_col, text_col).mapInArrow(measure, schema), "quality")
+    return rows.mapInArrow(measure, schema)
+
+
+def rate_documents(df: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_col: str = "word", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """(id, word_count, mean_word_length, symbol_ratio, punct_line_share, common_word_share, prose_share, text_type).
+
+    prose_share is the posterior share of the characters, white space aside, that belong to
+    running prose; text_type is prose, other or empty. One pass over the texts; pattern
+    counts are shuffled, of which there are at most 3 to the power of the votes.
+    """
+    stats = materialize(document_statistics(df, common_words, id_col, text_col, word_col, broadcast_words), "quality")
     patterns = stats.select(F.explode(F.arrays_zip("patterns", "segments")).alias("x")).groupBy(F.col("x.patterns").alias("pattern")).agg(F.sum("x.segments").alias("n")).orderBy("pattern").collect()
     known = np.array([r.pattern for r in patterns], np.int64)
     _, _, post = learn(known, np.array([r.n for r in patterns], float))
-    final = T.StructType([*schema.fields[:6], T.StructField("prose_share", T.DoubleType()), T.StructField("text_type", T.StringType())])
+    final = T.StructType([*stats.schema.fields[:6], T.StructField("prose_share", T.DoubleType()), T.StructField("text_type", T.StringType())])
 
     def conclude(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
