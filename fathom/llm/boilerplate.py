@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -100,7 +101,7 @@ class Forest:
             return
         stack: list[tuple[str, int]] = [("", root)]
         texts, text_node, text_link = self.texts, self.text_node, self.text_link
-        at, number, link = 0, 0, False
+        at, number, link, opened = 0, 0, False, Counter()
         for m in _TOKEN.finditer(page):
             begin = m.start()
             if begin > at:
@@ -121,30 +122,31 @@ class Forest:
             if kind is None:
                 continue
             if m[2]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        link = False
-                        break
+                if opened[tag]:
+                    self._end(stack, opened, (tag,), ())
+                    link = False
                 continue
-            if tag in _P_ENDERS:
-                self._end(stack, ("p",), _P_STOPS)
+            if tag in _P_ENDERS and opened["p"]:
+                self._end(stack, opened, ("p",), _P_STOPS)
             rule = _ENDS.get(tag)
-            if rule:
-                self._end(stack, *rule)
+            if rule and any(opened[t] for t in rule[0]):
+                self._end(stack, opened, *rule)
             raw = m[4]
             attr = ""
             if "=" in raw and len(raw) > 4:
                 attr = " ".join(a or b or c for a, b, c in _ATTR.findall(raw))
             top = stack[-1][1]
             if kind <= len(BLOCKS):
-                for name, node in stack:
-                    self.holds[node] = True
+                for _, above in reversed(stack):
+                    if self.holds[above]:  # then all above it do, too
+                        break
+                    self.holds[above] = True
                 node = self._add(top, kind, attr, number, len(stack))
                 number += 1
             else:
                 node = self._add(top, kind, attr, -1, len(stack))
             stack.append((tag, node))
+            opened[tag] += 1
         rest = page[at:]
         if rest and not rest.isspace():
             texts.append(entities.unescape(rest))
@@ -152,10 +154,12 @@ class Forest:
             text_link.append(link)
 
     @staticmethod
-    def _end(stack: list[tuple[str, int]], ended, stops) -> None:
+    def _end(stack: list[tuple[str, int]], opened: Counter, ended, stops) -> None:
+        """Closes the innermost open element of these kinds and all in it, unless one of the others comes first."""
         for i in range(len(stack) - 1, 0, -1):
             name = stack[i][0]
             if name in ended:
+                opened.subtract(t for t, _ in stack[i:])
                 del stack[i:]
                 return
             if name in stops:
@@ -178,7 +182,8 @@ class Features:
         self.leaf = (self.block >= 0) & ~np.array(f.holds, bool)
         n = len(self.parent)
         self.page = np.searchsorted(np.array(f.roots), np.arange(n), "right") - 1
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(1, int(self.depth.max(initial=0)) + 1)]
+        by_depth = np.argsort(self.depth, kind="stable")
+        self.levels = np.split(by_depth, np.cumsum(np.bincount(self.depth, minlength=1)))[1:-1]
         owner, link = np.array(f.text_node, np.int64), np.array(f.text_link, bool)
         w = kernel.words(f.texts)
         word_node = owner[w.doc] if len(w.doc) else np.empty(0, np.int64)
