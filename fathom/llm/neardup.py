@@ -228,7 +228,7 @@ class NearDuplicates:
         # the texts of one member of each class that has a candidate are read again
         read = self.members.join(shared.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.min("id").alias(id_col)).select(id_col)
         read = materialize(read, "read-again")
-        few = len(read.limit(BROADCAST_IDS + 1).toArrow()) <= BROADCAST_IDS
+        few = read.count() <= BROADCAST_IDS
         texts = df.select(id_col, text_col).join(F.broadcast(read) if few else read, id_col, "left_semi")
         sets = materialize(shingle_sets(texts, id_col, text_col, shingle, min_words, bands * rows).dropDuplicates(["class"]), "sets")
 
@@ -253,8 +253,9 @@ class NearDuplicates:
         return between.unionByName(within).unionByName(crowded).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
     def groups(self) -> DataFrame:
-        """(id, group_id, group_size, copies, links): one row per id that takes part. group_id is the group's least id;
-        copies counts ids of the same words, links the ids linked to this one, all copies included."""
+        """(id, group_id, group_size, copies, links, same_as): one row per id that takes part. group_id is the group's least id;
+        copies counts ids of the same words, links the ids linked to this one, all copies included. same_as is the least id
+        of the very same text: where ``pairs`` names only that one of a crowd, the others' pairs follow by joining it."""
         sized = self.members.groupBy("class").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
         ends = self.links.select("a", "b").unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         degree = ends.join(sized.select(F.col("class").alias("b"), "copies"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("copies").alias("across"))
@@ -262,7 +263,8 @@ class NearDuplicates:
         labelled = sized.join(component.select(F.col("node").alias("class"), "component"), "class", "left").join(degree, "class", "left").withColumn("component", F.coalesce("component", "class"))
         of_group = labelled.groupBy("component").agg(F.min("head").alias("group_id"), F.sum("copies").alias("group_size"))
         classes = labelled.join(of_group, "component").select("class", "group_id", "group_size", "copies", (F.col("copies") - 1 + F.coalesce("across", F.lit(0))).alias("links"))
-        return self.members.join(classes, "class").select("id", "group_id", "group_size", "copies", "links")
+        heads = self.members.groupBy("class", "same").agg(F.min("id").alias("same_as"))
+        return self.members.join(heads, ["class", "same"]).join(classes, "class").select("id", "group_id", "group_size", "copies", "links", "same_as")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

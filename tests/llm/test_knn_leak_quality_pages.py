@@ -239,3 +239,21 @@ def test_similar_finds_far_neighbours_too(spark, monkeypatch):
         got = {(r.id, r.neighbour) for r in index.similar(5).collect()}
         assert len(got & want) >= 0.9 * len(want), (list_rows, len(got & want) / len(want))
     assert [knn.probes_for(n) for n in (1, 28, 277, 4096)] == sorted(knn.probes_for(n) for n in (1, 28, 277, 4096))
+
+
+def test_many_common_words_are_joined(spark):
+    """Beyond the broadcast bound the statistics are the same, repeated and empty texts included."""
+    docs = spark.createDataFrame(QUALITY * 2, "doc_id long, text string")
+    common = spark.createDataFrame(COMMON, "lang string, word string")
+    few, many = ([tuple(r) for r in quality.rate_documents(docs, common, broadcast_words=n).orderBy("doc_id").collect()] for n in (100_000, 0))
+    assert few == many
+
+
+def test_deeply_nested_page():
+    """Elements that are never closed cost no more than their number."""
+    f = boilerplate.Forest()
+    f.scan("<div><li>" * 20_000 + "<p>end</p>" + "</span></ul>" * 10)
+    x = boilerplate.Features(f, True)
+    assert max(f.depth) == len(x.levels) and sum(map(len, x.levels)) == len(f.parent) - 1
+    assert all((x.depth[level] == d + 1).all() for d, level in enumerate(x.levels))
+    assert x.leaf.sum() == 1 and len(boilerplate.marginals(x, np.zeros(len(f.parent)), np.zeros((boilerplate.KINDS, boilerplate.KINDS, 2, 2)))) == len(f.parent)
