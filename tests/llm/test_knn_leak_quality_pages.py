@@ -252,7 +252,7 @@ def test_many_common_words_are_joined(spark):
 def test_deeply_nested_page():
     """Elements that are never closed cost no more than their number."""
     f = boilerplate.Forest()
-    f.scan("<div><li>" * 20_000 + "<p>end</p>" + "</span></ul>" * 10)
+    f.scan("<ul><li>" * 20_000 + "<p>end</p>" + "</span></ul>" * 10)
     x = boilerplate.Features(f, True)
     assert max(f.depth) == len(x.levels) and sum(map(len, x.levels)) == len(f.parent) - 1
     assert all((x.depth[level] == d + 1).all() for d, level in enumerate(x.levels))
