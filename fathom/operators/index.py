@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fathom.session import exact_unions
+from fathom.session import exact_unions, materialize
 
 
 def newest(df: DataFrame, key: str, at: str, *ties: str) -> DataFrame:
@@ -57,66 +58,132 @@ def chunk_id(url_col: str = "url", index_col: str = "chunk_index"):
     return F.xxhash64(url_col, index_col)
 
 
+def numbered(df: DataFrame, order: str, *ties: str, name: str = "position") -> DataFrame:
+    """The rows with their place in the order, from 1. Places are counted in range partitions and shifted by the rows
+    before each partition, of which there are as many as partitions: no task sees all rows."""
+    cols = [order, *ties]
+    ranged = materialize(df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_part", F.spark_partition_id()), "ranged")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*cols))
+    return ranged.join(F.broadcast(shifts), "_part").withColumn(name, (place + F.col("_shift")).cast("int")).drop("_part", "_shift")
+
+
 def merge_unique(first: DataFrame, second: DataFrame, key: str = "url") -> DataFrame:
     """Ordered union without repetition: (key, position) by the first place a key stands at; each side has key and position."""
     exact_unions(first.sparkSession)
-    both = first.select(key, F.struct(F.lit(0), "position").alias("p")).unionByName(second.select(key, F.struct(F.lit(1), "position").alias("p")))
-    least = both.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("p").alias("p"))
-    return least.select(key, F.row_number().over(Window.orderBy("p")).alias("position"))
+    both = first.select(key, F.lit(0).alias("side"), "position").unionByName(second.select(key, F.lit(1).alias("side"), "position"))
+    least = both.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct("side", "position")).alias("p"))
+    return numbered(least.select(key, "p.side", F.col("p.position").alias("at")), "side", "at").select(key, "position")
 
 
 class VersionedStore:
-    """Tables of one index as versions under a folder; a pointer file names the version that readers see.
+    """Tables of one index as versions under a folder.
 
-    A commit writes all tables of a new version first and moves the pointer last, so that
-    documents, chunks and state change together or not at all. One writer at a time.
+    Rows lie in buckets of their key's hash. A commit writes the buckets that change into a folder of its own, then
+    names the files of all tables in one numbered manifest, which is renamed into place: a reader sees a whole version
+    or the one before. A commit that broke off leaves no manifest, and the next one takes its number. What an update
+    costs goes by the buckets that it touches, not by the table. One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    #: The column that rows of a table are replaced by.
+    KEYS = {"documents": "url", "chunks": "document_id", "crawl_state": "url"}
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64) -> None:
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self) -> dict:
-        at = self._path(f"{self.root}/_current.json")
-        if not self._fs.exists(at):
-            return {"version": 0, "tables": {}}
-        return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(self._fs.open(at), "UTF-8"))
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
 
     def version(self) -> int:
-        return self._pointer()["version"]
-
-    def read(self, table: str) -> DataFrame | None:
-        at = self._pointer()["tables"].get(table)
-        return None if at is None else self.spark.read.parquet(at)
-
-    def commit(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> int:
-        """Writes new versions of the tables given; the others stay as they are."""
-        now = self._pointer()
-        version, names = now["version"] + 1, dict(now["tables"])
-        for name, df in tables.items():
-            at = f"{self.root}/v{version}/{name}"
-            df.write.mode("overwrite").partitionBy(*(partition_by or {}).get(name, [])).parquet(at)
-            names[name] = at
-        fresh = self._path(f"{self.root}/_next.json")
+        return max((int(n[:-5]) for n in self._names(f"{self.root}/_versions") if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
+    def _manifest(self) -> dict:
+        version = self.version()
+        if not version:
+            return {"version": 0, "buckets": self.buckets, "tables": {}}
+        stream = self._fs.open(self._path(f"{self.root}/_versions/{version:012d}.json"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _bucket(self, key: str | None, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int") if key else F.lit(0)
+
+    def _touched(self, keys: DataFrame, key: str, buckets: int) -> set[int]:
+        """Buckets of the keys, at most as many as there are buckets."""
+        return {r[0] for r in keys.select(self._bucket(key, buckets).alias("b")).distinct().collect()}
+
+    def _read(self, named: dict, only: set[int] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(named["schema"])
+        paths = sorted({p for b, p in named["parts"].items() if only is None or int(b) in only})
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{p}" for p in paths)) if paths else self.spark.createDataFrame([], schema)
+
+    def read(self, table: str, keys: DataFrame | None = None) -> DataFrame | None:
+        """A table, or of it the buckets that hold the keys of a frame."""
+        now = self._manifest()
+        named = now["tables"].get(table)
+        if named is None:
+            return None
+        return self._read(named, None if keys is None or not named["key"] else self._touched(keys, named["key"], now["buckets"]))
+
+    def _write(self, df: DataFrame, version: int, table: str, key: str | None, buckets: int) -> dict[str, str]:
+        """Writes rows by bucket; gives the folder of each bucket that has any."""
+        at = f"v{version}/{table}"
+        df.withColumn("_bucket", self._bucket(key, buckets)).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/{at}")
+        return {n.split("=")[1]: f"{at}/{n}" for n in self._names(f"{self.root}/{at}") if n.startswith("_bucket=")}
+
+    def _publish(self, now: dict) -> int:
+        folder, version = f"{self.root}/_versions", now["version"]
+        fresh, final = self._path(f"{folder}/.{version:012d}.tmp"), self._path(f"{folder}/{version:012d}.json")
         stream = self._fs.create(fresh, True)
-        stream.write(bytearray(json.dumps({"version": version, "tables": names}).encode()))
+        stream.write(bytearray(json.dumps(now).encode()))
         stream.close()
-        current = self._path(f"{self.root}/_current.json")
-        if self._fs.exists(current):
-            self._fs.delete(current, False)
-        self._fs.rename(fresh, current)
+        if self._fs.exists(final) or not self._fs.rename(fresh, final):
+            raise RuntimeError(f"version {version} was committed by another writer")
         return version
 
+    def commit(self, tables: dict[str, DataFrame]) -> int:
+        """Writes whole tables; the others stay as they are."""
+        now = self._manifest()
+        now["version"] += 1
+        for name, df in tables.items():
+            key = self.KEYS.get(name) if self.KEYS.get(name) in df.columns else None
+            now["tables"][name] = {"key": key, "schema": df.schema.jsonValue(), "parts": self._write(df, now["version"], name, key, now["buckets"])}
+        return self._publish(now)
+
+    def update(self, changes: dict[str, tuple[DataFrame, DataFrame]]) -> int:
+        """For each table (keys, rows): the rows of these keys go, the new rows come. Only buckets of the keys are read and written."""
+        now = self._manifest()
+        now["version"] += 1
+        for name, (keys, rows) in changes.items():
+            key, named = self.KEYS[name], now["tables"].get(name)
+            if named is None or named["key"] != key:
+                old = None if named is None else self._read(named)
+                df = rows if old is None else replaced(old, keys, rows, key)
+                now["tables"][name] = {"key": key, "schema": df.schema.jsonValue(), "parts": self._write(df, now["version"], name, key, now["buckets"])}
+                continue
+            touched = self._touched(keys.select(key).unionByName(rows.select(key)), key, now["buckets"])
+            df = replaced(self._read(named, touched), keys, rows, key)
+            parts = self._write(df, now["version"], name, key, now["buckets"])
+            named["parts"] = {b: p for b, p in named["parts"].items() if int(b) not in touched} | parts
+            named["schema"] = df.schema.jsonValue()
+        return self._publish(now)
+
+
+def replaced(old: DataFrame, keys: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The old rows but for those of the keys, and the new rows."""
+    exact_unions(old.sparkSession)
+    return old.join(keys.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True)
+
 
 def upsert(store: VersionedStore, documents: DataFrame, chunks: DataFrame, state: DataFrame | None = None) -> int:
-    """Replaces documents by url and their chunks by document_id, in one version with the crawl state."""
-    old_docs, old_chunks = store.read("documents"), store.read("chunks")
-    tables = {
-        "documents": documents if old_docs is None else replace_rows(old_docs, documents, "url"),
-        # chunks of a replaced document go even if the new one has none
-        "chunks": chunks if old_chunks is None else old_chunks.join(documents.select(F.col("doc_id").alias("document_id")), "document_id", "left_anti").unionByName(chunks, allowMissingColumns=True),
-    }
+    """Replaces documents by url, their chunks by document_id (also where the new one has none) and crawl states by url, in one version."""
+    changes = {"documents": (documents, documents), "chunks": (documents.select(F.col("doc_id").alias("document_id")), chunks)}
     if state is not None:
-        tables["crawl_state"] = state
-    return store.commit(tables)
+        changes["crawl_state"] = (state, state)
+    return store.update(changes)

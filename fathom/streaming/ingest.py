@@ -19,7 +19,7 @@ from fathom.operators.serving import BURST, IDLE, RATE, token_bucket
 def ingest_batch(store: index.VersionedStore, pages: DataFrame, dim: int = 64) -> int | None:
     """One batch of fetched pages into the store: changed pages only, state moved in the same version. None if nothing changed."""
     newest = index.newest(pages.where("url IS NOT NULL").withColumn("content_hash", F.sha2("html", 256)).select("url", "crawled_at", "content_hash", "html", "service_name"), "url", "crawled_at", "content_hash")
-    known = store.read("crawl_state")
+    known = store.read("crawl_state", newest)
     fresh = newest if known is None else index.changed(newest, known)
     parsed = chunk_pages(fresh).where("ok AND size(chunks) > 0").withColumn("doc_id", index.document_id("url")).persist()
     try:
@@ -29,8 +29,7 @@ def ingest_batch(store: index.VersionedStore, pages: DataFrame, dim: int = 64) -
         documents = parsed.select("doc_id", "url", "service_name", "title", "content_hash", "crawled_at", now.alias("updated_at"))
         chunks = exploded(parsed, "doc_id", "url").withColumn("chunk_id", index.chunk_id()).withColumnRenamed("doc_id", "document_id").drop("url", "title")
         crawled = parsed.select("url", "content_hash", "crawled_at")
-        base = crawled.select("url", "content_hash", F.col("crawled_at").alias("last_crawled_at")).limit(0) if known is None else known
-        return index.upsert(store, documents, embed(chunks), index.merge_state(base, crawled))
+        return index.upsert(store, documents, embed(chunks), crawled.withColumnRenamed("crawled_at", "last_crawled_at"))
     finally:
         parsed.unpersist()
 

@@ -168,3 +168,60 @@ def test_settings(spark):
         spark.conf.unset("spark.fathom.chunk_tokens")
 
 
+
+
+def test_update_rewrites_touched_buckets_only(spark, tmp_path):
+    store = index.VersionedStore(spark, f"file://{tmp_path}/store", buckets=8)
+    docs = spark.createDataFrame([(i, f"u{i}", "t") for i in range(40)], "doc_id long, url string, title string")
+    chunks = spark.createDataFrame([(i, 0, "a") for i in range(40)], "document_id long, chunk_index int, text string")
+    store.commit({"documents": docs, "chunks": chunks})
+    before = store._manifest()["tables"]
+    one = docs.where("doc_id = 7").withColumn("title", F.lit("new")).withColumn("lang", F.lit("en"))
+    assert index.upsert(store, one, chunks.limit(0)) == 2
+    after = store._manifest()["tables"]
+    for name in ("documents", "chunks"):
+        assert sum(before[name]["parts"].get(b) != after[name]["parts"].get(b) for b in map(str, range(8))) == 1
+    rows = {r.doc_id: (r.title, r.lang) for r in store.read("documents").collect()}
+    assert len(rows) == 40 and rows[7] == ("new", "en") and rows[8] == ("t", None)
+    assert store.read("chunks").where("document_id = 7").count() == 0 and store.read("chunks").count() == 39
+    assert store.read("documents", one).where("doc_id = 7").count() == 1 and store.read("documents", one).count() < 40
+
+
+def test_a_commit_that_breaks_off_changes_nothing(spark, tmp_path, monkeypatch):
+    store = index.VersionedStore(spark, f"file://{tmp_path}/store", buckets=4)
+    docs = spark.createDataFrame([(1, "u", "t1"), (2, "v", "t2")], "doc_id long, url string, title string")
+    chunks = spark.createDataFrame([(1, 0, "a"), (2, 0, "c")], "document_id long, chunk_index int, text string")
+    index.upsert(store, docs, chunks)
+    old = [sorted(map(tuple, store.read(n).collect())) for n in ("documents", "chunks")]
+    changed = (docs.where("doc_id = 1").withColumn("title", F.lit("new")), chunks.where("document_id = 1").withColumn("text", F.lit("z")))
+    real = index.VersionedStore._write
+    for broken in ("documents", "chunks", None):  # while a table is written, and before the manifest is in place
+
+        def write(self, df, version, table, *rest, broken=broken):
+            if table == broken:
+                raise OSError("lost")
+            return real(self, df, version, table, *rest)
+
+        def publish(self, now):
+            raise OSError("lost")
+
+        with monkeypatch.context() as m:
+            m.setattr(index.VersionedStore, "_write", write)
+            if broken is None:
+                m.setattr(index.VersionedStore, "_publish", publish)
+            with pytest.raises(OSError):
+                index.upsert(store, *changed)
+        again = index.VersionedStore(spark, f"file://{tmp_path}/store", buckets=4)
+        assert again.version() == 1 and [sorted(map(tuple, again.read(n).collect())) for n in ("documents", "chunks")] == old
+    assert index.upsert(store, *changed) == 2 and {r.title for r in store.read("documents").collect()} == {"new", "t2"}
+    stale = index.VersionedStore(spark, f"file://{tmp_path}/store", buckets=4)
+    monkeypatch.setattr(stale, "version", lambda: 1)
+    with pytest.raises(RuntimeError):  # a writer that did not see version 2
+        index.upsert(stale, *changed)
+
+
+def test_numbered(spark):
+    df = spark.createDataFrame([(i * 7 % 50, i % 3) for i in range(50)], "a int, b int")
+    got = index.numbered(df, "a", "b").orderBy("position").collect()
+    assert [r.position for r in got] == list(range(1, 51)) and [r.a for r in got] == sorted(r.a for r in got)
+    assert index.numbered(df.limit(0), "a").count() == 0
