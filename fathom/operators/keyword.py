@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,21 +17,55 @@ from fathom.functions import text as T
 WEIGHTS = {"A": 1.0, "B": 0.4}
 
 
-def _kept(words: Column, stops: Sequence[str]) -> Column:
-    """array<struct<term, pos>> with positions from 1."""
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("term"), (i + 1).alias("pos")))
-    return F.filter(placed, lambda x: ~x.term.isin(*stops)) if stops else placed
+def postings(df: DataFrame, id_col: str = "chunk_id", path_col: str = "section_path", text_col: str = "text", stops: Sequence[str] = tuple(T.STOP_WORDS.split())) -> DataFrame:
+    """(id, term, pos, weight): narrow, one row per indexed word. Words are counted from 1; stop words go after the split, as a filter over rows."""
+    split = df.select(F.col(id_col), T.words(F.coalesce(F.col(path_col), F.lit(""))).alias("_a"), T.words(F.coalesce(F.col(text_col), F.lit(""))).alias("_b"))
+    stop = (lambda w: w.isin(*stops)) if stops else (lambda w: F.lit(False))
+    # the text's words stand behind the last path word that is indexed
+    shift = F.coalesce(F.array_max(F.transform("_a", lambda w, i: F.when(~stop(w), i + 1))), F.lit(0))
+    placed = split.select(id_col, F.size("_a").alias("_n"), shift.alias("_shift"), F.posexplode(F.concat("_a", "_b")).alias("_i", "term")).where(~stop(F.col("term")))
+    in_path = F.col("_i") < F.col("_n")
+    return placed.select(id_col, "term", F.when(in_path, F.col("_i") + 1).otherwise(F.col("_i") - F.col("_n") + 1 + F.col("_shift")).alias("pos"), F.when(in_path, "A").otherwise("B").alias("weight"))
 
 
-def postings(df: DataFrame, id_col: str = "chunk_id", path_col: str = "section_path", text_col: str = "text", stops: Sequence[str] = tuple(T.STOP_WORDS.split())) -> DataFrame:
-    """(id, term, pos, weight): narrow, one row per indexed word."""
-    a, b = _kept(T.words(F.coalesce(F.col(path_col), F.lit(""))), stops), _kept(T.words(F.coalesce(F.col(text_col), F.lit(""))), stops)
-    both = df.select(F.col(id_col), a.alias("_a"), b.alias("_b")).withColumn("_shift", F.coalesce(F.array_max(F.transform("_a", lambda x: x.pos)), F.lit(0)))
-    tagged = F.concat(
-        F.transform("_a", lambda x: F.struct(x.term.alias("term"), x.pos.alias("pos"), F.lit("A").alias("weight"))),
-        F.transform("_b", lambda x: F.struct(x.term.alias("term"), (x.pos + F.col("_shift")).alias("pos"), F.lit("B").alias("weight"))),
-    )
-    return both.select(id_col, F.inline(tagged))
+class KeywordIndex:
+    """Postings of one table, written once and read by term.
+
+    Rows lie in folders by bucket of their term and are sorted by term, so a search reads the folders of the terms it
+    asks for, and in these the row groups that hold them.
+    """
+
+    #: Asked terms up to this number are pushed down to the scan as literals; more are joined by bucket and term.
+    LITERAL_TERMS = 1000
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int) -> None:
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+
+    @classmethod
+    def write(cls, posted: DataFrame, path: str, buckets: int = 16, parts: int = 1, id_col: str = "chunk_id") -> KeywordIndex:
+        """Writes postings. ``parts`` files a bucket: terms of very many records are dealt out by record."""
+        made = cls(posted.sparkSession, path, buckets)
+        keyed = posted.withColumn("bucket", made._bucket())
+        dealt = keyed.repartition(buckets * parts, "bucket", F.pmod(F.xxhash64(id_col), F.lit(parts)))
+        dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+        return made
+
+    def all(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("bucket")
+
+    def of(self, terms: DataFrame) -> DataFrame:
+        """Postings of the terms of a frame (term, ...)."""
+        stored, wanted = self.spark.read.parquet(self.path), terms.select("term").distinct()
+        few = [r.term for r in wanted.limit(self.LITERAL_TERMS + 1).collect()]
+        if len(few) > self.LITERAL_TERMS:
+            return stored.join(wanted.withColumn("bucket", self._bucket()), ["bucket", "term"], "left_semi").drop("bucket")
+        if not few:
+            return stored.limit(0).drop("bucket")
+        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in few], "term string").select(self._bucket()).distinct().collect()]
+        return stored.where(F.col("bucket").isin(buckets) & F.col("term").isin(few)).drop("bucket")
 
 
 def stemmed(posted: DataFrame) -> DataFrame:
@@ -73,23 +107,23 @@ def cover_density(hit: DataFrame, id_col: str = "chunk_id") -> DataFrame:
 
     One fold over a record's hits, which are as many as the query's words in one record.
     """
-    weight = F.when(F.col("weight") == "A", WEIGHTS["A"]).otherwise(WEIGHTS["B"])
-    rows = hit.select("query_id", id_col, "n_terms", F.struct("pos", "term_no", (1 / weight).alias("inv")).alias("h"))
-    grouped = rows.groupBy("query_id", id_col, "n_terms").agg(F.array_sort(F.collect_list("h")).alias("h"))
+    inverse = F.when(F.col("weight") == "A", 1 / WEIGHTS["A"]).otherwise(1 / WEIGHTS["B"])
     # running sums of 1 / weight, so that a span's sum is a difference
-    sums = F.aggregate("h", F.array(F.lit(0.0)), lambda s, x: F.array_append(s, F.element_at(s, -1) + x.inv))
+    before = Window.partitionBy("query_id", id_col).orderBy("pos", "term_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = hit.select("query_id", id_col, "n_terms", "pos", "term_no", inverse.alias("inv")).withColumn("total", F.sum("inv").over(before))
+    grouped = rows.groupBy("query_id", id_col, "n_terms").agg(F.array_sort(F.collect_list(F.struct("pos", "term_no", "inv", "total"))).alias("h"))
     start = F.struct(F.array_repeat(F.lit(-1), F.col("n_terms")).alias("last"), F.lit(-1).alias("seen"), F.lit(0).alias("i"), F.lit(0.0).alias("score"))
 
     def step(acc: Column, x: Column) -> Column:
         last = F.transform(acc.last, lambda v, t: F.when(t == x.term_no, acc.i).otherwise(v))
         first = F.array_min(last)
+        begin = F.get("h", first)
         n = acc.i - first + 1
-        inverse = F.get("sums", acc.i + 1) - F.get("sums", first)
-        gap = x.pos - F.get("h", first)["pos"]
+        gap = x.pos - begin["pos"]
         new = (first >= 0) & (first > acc.seen)
-        return F.struct(last.alias("last"), F.when(new, first).otherwise(acc.seen).alias("seen"), (acc.i + 1).alias("i"), (acc.score + F.when(new, n / inverse / (1 + gap - (n - 1))).otherwise(0.0)).alias("score"))
+        return F.struct(last.alias("last"), F.when(new, first).otherwise(acc.seen).alias("seen"), (acc.i + 1).alias("i"), (acc.score + F.when(new, n / (x.total - begin["total"] + begin["inv"]) / (1 + gap - (n - 1))).otherwise(0.0)).alias("score"))
 
-    return grouped.withColumn("sums", sums).select("query_id", id_col, F.round(F.aggregate("h", start, step, lambda acc: acc.score), 9).alias("score"))
+    return grouped.select("query_id", id_col, F.round(F.aggregate("h", start, step, lambda acc: acc.score), 9).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:

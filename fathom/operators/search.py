@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fathom.operators import fusion, keyword, vector
-from fathom.session import materialize
+from fathom.session import exact_unions, materialize
 
 OVER_FETCH = 3
 
@@ -32,10 +32,18 @@ def filtered(chunks: DataFrame, documents: DataFrame, services: list[str] | None
     return chunks.join(wanted, "document_id", "left_semi")
 
 
-def keyword_arm(requests: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def keyword_arm(requests: DataFrame, chunks: DataFrame, k: int, index: keyword.KeywordIndex | None = None, subset: bool = False) -> DataFrame:
+    """The k best chunks of each request by keywords. With an index only the postings of asked terms are read; ``subset``
+    says that the chunks are fewer than those indexed."""
     # written, so that the join with the postings knows how small the terms are
     terms = materialize(keyword.query_terms(requests), "terms")
-    return keyword.top_k(keyword.cover_density(keyword.hits(keyword.postings(chunks), terms)), k)
+    if index is None:
+        posted = keyword.postings(chunks)
+    else:
+        posted = index.of(terms)
+        if subset:
+            posted = posted.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    return keyword.top_k(keyword.cover_density(keyword.hits(posted, terms)), k)
 
 
 def vector_arm(requests: DataFrame, chunks: DataFrame, k: int, dim: int) -> DataFrame:
@@ -43,40 +51,50 @@ def vector_arm(requests: DataFrame, chunks: DataFrame, k: int, dim: int) -> Data
     return vector.top_k_batch(requests, corpus, k, dim, id_col="chunk_id").withColumnRenamed("id", "chunk_id")
 
 
-def run_arms(requests: DataFrame, chunks: DataFrame, top_k: int, dim: int) -> Arms:
-    """Each arm by itself: an arm that cannot be planned leaves the other alone."""
+def run_arms(requests: DataFrame, chunks: DataFrame, top_k: int, dim: int, index: keyword.KeywordIndex | None = None) -> Arms:
+    """Each arm by itself and to its end, so that an arm that cannot be planned or whose job fails leaves the other alone.
+
+    What is written are the over-fetched ranks of each request. Requests without vector take part in the keyword arm only.
+    """
     arms = Arms()
     try:
-        arms.vector = vector_arm(requests, chunks, OVER_FETCH * top_k, dim)
-        arms.vector.schema  # noqa: B018 - analysis errors show here
+        arms.vector = materialize(vector_arm(requests.where("vector IS NOT NULL"), chunks, OVER_FETCH * top_k, dim), "vector-arm")
     except Exception as e:  # noqa: BLE001
-        arms.vector, arms.vector_error = None, e
+        arms.vector_error = e
     try:
-        arms.keyword = keyword_arm(requests, chunks, OVER_FETCH * top_k)
-        arms.keyword.schema  # noqa: B018
+        arms.keyword = materialize(keyword_arm(requests, chunks, OVER_FETCH * top_k, index), "keyword-arm")
     except Exception as e:  # noqa: BLE001
-        arms.keyword, arms.keyword_error = None, e
+        arms.keyword_error = e
     if arms.vector is None and arms.keyword is None:
         raise RuntimeError(f"both arms failed: {arms.vector_error}; {arms.keyword_error}")
     return arms
 
 
-def hybrid(requests: DataFrame, chunks: DataFrame, top_k: int, dim: int = 64) -> DataFrame:
+def hybrid(requests: DataFrame, chunks: DataFrame, top_k: int, dim: int = 64, index: keyword.KeywordIndex | None = None) -> DataFrame:
     """(query_id, chunk_id, score, vector_rank, keyword_rank, rank, score_kind) for requests (query_id, query, vector).
 
-    Requests without vector (their embedding failed) are answered by keywords alone, with the keyword score.
+    Requests without vector (their embedding failed) are answered by keywords alone, with the keyword score. The
+    keyword arm runs once for both.
     """
-    embedded, plain = requests.where("vector IS NOT NULL"), requests.where("vector IS NULL")
-    arms = run_arms(embedded, chunks, top_k, dim)
-    nothing = (arms.vector if arms.vector is not None else arms.keyword).limit(0)
-    fused = fusion.rrf(arms.vector if arms.vector is not None else nothing, arms.keyword if arms.keyword is not None else nothing, top_k).withColumn("score_kind", F.lit("rrf"))
-    return fused.unionByName(fallback(plain, chunks, top_k))
+    arms = run_arms(requests, chunks, top_k, dim, index)
+    plain = requests.where("vector IS NULL").select("query_id")
+    if arms.keyword is None:
+        if plain.take(1):
+            raise RuntimeError(f"requests without vector have no other arm: {arms.keyword_error}")
+        return fusion.rrf(arms.vector, arms.vector.limit(0), top_k).withColumn("score_kind", F.lit("rrf"))
+    exact_unions(requests.sparkSession)
+    both = arms.keyword.join(plain, "query_id", "left_anti")
+    fused = fusion.rrf(arms.vector if arms.vector is not None else arms.keyword.limit(0), both, top_k).withColumn("score_kind", F.lit("rrf"))
+    return fused.unionByName(_by_keyword(arms.keyword.join(plain, "query_id", "left_semi"), top_k))
+
+
+def _by_keyword(found: DataFrame, top_k: int) -> DataFrame:
+    return found.where(F.col("rank") <= top_k).select("query_id", "chunk_id", "score", F.lit(None).cast("int").alias("vector_rank"), F.col("rank").alias("keyword_rank"), "rank", F.lit("keyword").alias("score_kind"))
 
 
-def fallback(requests: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
+def fallback(requests: DataFrame, chunks: DataFrame, top_k: int, index: keyword.KeywordIndex | None = None) -> DataFrame:
     """The keyword arm alone: over-fetched, cut, with its own score."""
-    found = keyword_arm(requests, chunks, OVER_FETCH * top_k).where(F.col("rank") <= top_k)
-    return found.select("query_id", "chunk_id", "score", F.lit(None).cast("int").alias("vector_rank"), F.col("rank").alias("keyword_rank"), "rank", F.lit("keyword").alias("score_kind"))
+    return _by_keyword(keyword_arm(requests, chunks, OVER_FETCH * top_k, index), top_k)
 
 
 def enrich(ranked: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:

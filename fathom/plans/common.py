@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.text import STOP_WORDS
-from fathom.session import spread
+from fathom.operators import keyword
+from fathom.session import shared_path, spread
 from fathom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,22 @@ def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
 
+_indexes: dict[tuple, keyword.KeywordIndex] = {}
+
+
+def stored_postings(t: Tables) -> keyword.KeywordIndex:
+    """The keyword index of a folder's chunks in the shared folder: written by the first query that needs it, and anew when the table's files change."""
+    spark = t.spark
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{t.dir}/chunks.parquet")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = fs.listStatus(at)
+    key = (spark.sparkContext.applicationId, t.dir, tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
+    if key not in _indexes:
+        parts = max(1, sum(n for _, n, _ in key[2]) // (16 * (64 << 20)))
+        _indexes[key] = keyword.KeywordIndex.write(keyword.postings(t.spread("chunks")), shared_path(spark, "postings"), parts=parts)
+    return _indexes[key]
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from fathom.operators import fusion, keyword, search, stats, vector
 from fathom.operators.embed import embed
 
-from fathom.plans.common import COVER_SQL, FIXED_SQL, HITS_SQL, HYBRID_SQL, POSTINGS_SQL, REQUESTS_SQL, TERMS_SQL, USABLE_SQL, VECTOR_ARM_SQL, Tables, embedded_requests, query, r6, requests
+from fathom.plans.common import COVER_SQL, FIXED_SQL, HITS_SQL, HYBRID_SQL, POSTINGS_SQL, REQUESTS_SQL, TERMS_SQL, USABLE_SQL, VECTOR_ARM_SQL, Tables, embedded_requests, query, r6, requests, stored_postings
 from fathom.session import materialize
 
 SERVICES = ["objectvault", "funcrunner", "queuely"]
@@ -66,11 +66,12 @@ def postings(spark, sf_dir):
 
 @query(f"WITH {POSTINGS_SQL} SELECT term, count(DISTINCT chunk_id) AS records, count(*) AS occurrences FROM postings GROUP BY 1")
 def term_stats(spark, sf_dir):
-    return keyword.term_stats(keyword.postings(Tables(spark, sf_dir).spread("chunks")))
+    return keyword.term_stats(stored_postings(Tables(spark, sf_dir)).all())
 
 
 def _hits(t: Tables, asked):
-    return keyword.hits(keyword.postings(t.spread("chunks")), materialize(keyword.query_terms(asked), "terms"))
+    terms = materialize(keyword.query_terms(asked), "terms")
+    return keyword.hits(stored_postings(t).of(terms), terms)
 
 
 @query(f"WITH {REQUESTS_SQL}, {POSTINGS_SQL}, {TERMS_SQL}, {HITS_SQL} SELECT DISTINCT query_id, chunk_id FROM hits")
@@ -100,14 +101,14 @@ def keyword_rank_cover_density(spark, sf_dir):
 """)
 def keyword_topk_filtered(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    found = search.keyword_arm(requests(t), search.filtered(t.chunks, t.documents, SERVICES), 10)
+    found = search.keyword_arm(requests(t), search.filtered(t.chunks, t.documents, SERVICES), 10, stored_postings(t), subset=True)
     return found.select("query_id", "chunk_id", r6(F.col("score"), "score"), "rank")
 
 
 @query()
 def keyword_topk_english(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    posted = keyword.stemmed(keyword.postings(t.spread("chunks")))
+    posted = keyword.stemmed(stored_postings(t).all())
     stems = keyword.stemmed(materialize(keyword.query_terms(requests(t)), "terms"))
     # stems that two words of a query share are one term
     stems = stems.groupBy("query_id", "term").agg(F.min("term_no").alias("term_no"))
@@ -144,13 +145,13 @@ def rrf_fusion_topk0(spark, sf_dir):
 @query(HYBRID_SQL + "SELECT query_id, chunk_id, round(score, 6) AS score, vector_rank, keyword_rank, rank, score_kind FROM results")
 def hybrid_search(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return search.hybrid(embedded_requests(t), t.spread("chunks"), 10).select("query_id", "chunk_id", r6(F.col("score"), "score"), "vector_rank", "keyword_rank", "rank", "score_kind")
+    return search.hybrid(embedded_requests(t), t.spread("chunks"), 10, index=stored_postings(t)).select("query_id", "chunk_id", r6(F.col("score"), "score"), "vector_rank", "keyword_rank", "rank", "score_kind")
 
 
 @query(f"WITH {REQUESTS_SQL}, {POSTINGS_SQL}, {TERMS_SQL}, {HITS_SQL}, {COVER_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, 'keyword' AS score_kind FROM ranked_kw WHERE rank <= 10")
 def hybrid_keyword_fallback(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return search.fallback(requests(t), t.spread("chunks"), 10).select("query_id", "chunk_id", r6(F.col("score"), "score"), "rank", "score_kind")
+    return search.fallback(requests(t), t.chunks, 10, stored_postings(t)).select("query_id", "chunk_id", r6(F.col("score"), "score"), "rank", "score_kind")
 
 
 @query(HYBRID_SQL + """
@@ -159,7 +160,7 @@ def hybrid_keyword_fallback(spark, sf_dir):
 """)
 def enrich_join(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    found = search.enrich(search.hybrid(embedded_requests(t), t.spread("chunks"), 10), t.chunks, t.documents)
+    found = search.enrich(search.hybrid(embedded_requests(t), t.spread("chunks"), 10, index=stored_postings(t)), t.chunks, t.documents)
     return found.select("query_id", "chunk_id", "rank", "document_id", "chunk_index", "chunk_type", "section_path", "text", "url", "service_name", "title")
 
 
@@ -225,6 +226,6 @@ def search_by_text(spark, sf_dir):
     """Requests and chunks embedded by the same model, searched whole."""
     t = Tables(spark, sf_dir)
     asked = embed(requests(t), "query", "vector", query=True)
-    return search.hybrid(asked, embed(t.chunks.drop("embedding")), 10)
+    return search.hybrid(asked, embed(t.chunks.drop("embedding")), 10, index=stored_postings(t))
 
 

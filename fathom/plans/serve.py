@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fathom.functions import presentation as P
 from fathom.functions import text as X
 from fathom.operators import answer, search, serving, stats
-from fathom.plans.common import Tables, embedded_requests, query, r6, requests
+from fathom.plans.common import Tables, embedded_requests, query, r6, requests, stored_postings
 from fathom.streaming.ingest import windowed_counts
 
 
@@ -208,7 +208,7 @@ def answer_requests(spark, sf_dir):
     """Requests searched, prompted, answered by the extractive provider, and their citations."""
     t = Tables(spark, sf_dir)
     asked = embedded_requests(t)
-    found = search.enrich(search.hybrid(asked, t.chunks, 5), t.chunks, t.documents)
+    found = search.enrich(search.hybrid(asked, t.chunks, 5, index=stored_postings(t)), t.chunks, t.documents)
     answers = answer.answer(answer.prompts(found, asked))
     return answer.citations(answers.where("ok"), found)
 
@@ -251,5 +251,5 @@ def sse_decode_all(spark, sf_dir):
 def empty_answer(spark, sf_dir):
     t = Tables(spark, sf_dir)
     one = requests(t).where(F.col("query_id") == 4)
-    found = search.fallback(one, t.chunks, 10)
+    found = search.fallback(one, t.chunks, 10, stored_postings(t))
     return one.join(found, "query_id", "left_anti").select("query_id", F.lit(answer.NOTHING_FOUND).alias("answer"))

@@ -153,3 +153,30 @@ def test_fusion_below_a_self_join(spark):
     fused = fusion.rrf(rank("v"), rank(F.desc("chunk_id")), 10)
     top = fused.groupBy("query_id").agg(F.max("rank").alias("rank"))
     assert fused.join(top.withColumn("rank", F.explode(F.sequence(F.lit(1), F.col("rank")))), ["query_id", "rank"]).count() == 200
+
+
+def test_keyword_index_gives_what_the_texts_give(spark, tmp_path):
+    rows = [(i, "bucket" if i % 3 else None, f"policy of the bucket {'queue ' * (i % 4)} role{i}") for i in range(60)] + [(100, None, None), (101, "", "")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, section_path string, text string")
+    posted = keyword.postings(chunks)
+    stored = keyword.KeywordIndex.write(posted, str(tmp_path / "index"), buckets=4, parts=2)
+    assert sorted(map(tuple, stored.all().select(posted.columns).collect())) == sorted(map(tuple, posted.collect()))
+    asked = spark.createDataFrame([(1, "bucket policy"), (2, "role7"), (3, "of the"), (4, "nowhere")], "query_id long, query string")
+    terms = keyword.query_terms(asked)
+    want = sorted(map(tuple, keyword.cover_density(keyword.hits(posted, terms)).collect()))
+    assert sorted(map(tuple, keyword.cover_density(keyword.hits(stored.of(terms), terms)).collect())) == want and len(want) == 61
+    stored.LITERAL_TERMS = 1
+    assert sorted(map(tuple, keyword.cover_density(keyword.hits(stored.of(terms), terms)).collect())) == want
+    assert stored.of(terms.limit(0)).count() == 0
+    few = search.keyword_arm(asked, chunks.where("chunk_id < 10"), 100, stored, subset=True).collect()
+    assert {r.chunk_id for r in few if r.query_id == 1} == set(range(10))
+
+
+def test_an_arm_whose_job_fails_leaves_the_other(spark):
+    chunks = spark.createDataFrame([(1, None, "bucket policy", [1.0, 0.0])], "chunk_id long, section_path string, text string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "bucket", [1.0, 0.0])], "query_id long, query string, vector array<float>")
+    broken = chunks.withColumn("text", F.raise_error(F.lit("lost")).cast("string"))
+    rows = search.hybrid(asked, broken, 3, dim=2).collect()
+    assert [(r.chunk_id, r.vector_rank, r.keyword_rank) for r in rows] == [(1, 1, None)]
+    with pytest.raises(RuntimeError):
+        search.hybrid(asked.withColumn("vector", F.lit(None).cast("array<float>")), broken, 3, dim=2)
