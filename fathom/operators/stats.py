@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def totals(documents: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -19,9 +18,9 @@ def per_service(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def with_share(services: DataFrame) -> DataFrame:
     """Adds each service's share of all chunks, 0 if there are none, and its size against the largest."""
-    every = Window.partitionBy()
-    total, most = F.sum("chunks").over(every), F.max("chunks").over(every)
-    return services.withColumn("share", F.when(total > 0, F.col("chunks") / total).otherwise(0.0)).withColumn("bar", F.col("chunks") / F.greatest(most, F.lit(1)))
+    whole = services.agg(F.sum("chunks").alias("_total"), F.max("chunks").alias("_most"))  # one row
+    share = F.when(F.col("_total") > 0, F.col("chunks") / F.col("_total")).otherwise(0.0)
+    return services.crossJoin(F.broadcast(whole)).withColumn("share", share).withColumn("bar", F.col("chunks") / F.greatest("_most", F.lit(1))).drop("_total", "_most")
 
 
 def dashboard(documents: DataFrame, chunks: DataFrame) -> DataFrame:

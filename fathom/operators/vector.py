@@ -44,6 +44,18 @@ def top_k(df: DataFrame, query: Sequence[float], k: int, id_col: str, vector_col
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
+def best_places(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best finite scores of each row, best first; of equal scores the lesser id is better."""
+    least = -np.inf
+    if k < score.shape[1]:
+        least = np.partition(score, score.shape[1] - k, 1)[:, score.shape[1] - k, None]
+    q, d = np.nonzero((score >= least) & np.isfinite(score))
+    order = np.lexsort((ids[d], -score[q, d], q))
+    q, d = q[order], d[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < k], d[place < k]
+
+
 def top_k_batch(queries: DataFrame, corpus: DataFrame, k: int, dim: int, query_id: str = "query_id", id_col: str = "id", vector_col: str = "vector", keep_self: bool = True) -> DataFrame:
     """(query_id, id, score, rank): the k best rows for each query.
 
@@ -51,15 +63,19 @@ def top_k_batch(queries: DataFrame, corpus: DataFrame, k: int, dim: int, query_i
     tasks, so that the corpus is read once; beyond that, partitions meet pairwise. Each batch sends on its k best rows
     a query only.
     """
-    picked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v"), dim))
     kind = corpus.schema[id_col].dataType.simpleString()
-    rows = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(usable(F.col("v"), dim))
+    # of what makes a vector usable the JVM tests the size; the numbers are tested as whole arrays
+    right = F.col("v").isNotNull() & (F.size("v") == dim) & F.col("id").isNotNull()
+    picked = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector_col).alias("v")).where(right)
+    rows = corpus.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(right)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                ids, data = part.column(0).to_numpy(), part.column(1).flatten().to_numpy()
+                data = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+                good = np.isfinite(data).all(1) & (data != 0).any(1)
+                ids, data = part.column(0).to_numpy()[good], data[good]
                 yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], names=["ids", "data"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,10 +87,8 @@ def top_k_batch(queries: DataFrame, corpus: DataFrame, k: int, dim: int, query_i
                 score = np.round(np.frombuffer(qv).reshape(-1, dim) @ np.frombuffer(data).reshape(-1, dim).T, 9)
                 if not keep_self:
                     score = np.where(qid[:, None] == ids[None, :], -np.inf, score)
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, order, 1)
-                good = np.isfinite(best).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, order.shape[1])[good]), pa.array(ids[order].ravel()[good]), pa.array(best.ravel()[good])], names=["query_id", "id", "score"])
+                q, d = best_places(score, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array(qid[q]), pa.array(ids[d]), pa.array(score[q, d])], names=["query_id", "id", "score"])
 
     packed = "ids binary, data binary"
     left = materialize(picked.mapInArrow(pack, packed).toDF("qids", "qdata"), "query-blocks")

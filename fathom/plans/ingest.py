@@ -159,8 +159,7 @@ def crawl_in_scope(spark, sf_dir):
 """)
 def seed_merge(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    numbered = lambda df, by: df.select("url", F.row_number().over(Window.orderBy(by)).alias("position"))
-    return index.merge_unique(numbered(t.documents, "doc_id"), numbered(t.crawl_result, "crawl_id"))
+    return index.merge_unique(*(index.numbered(df.select("url", by), by) for df, by in ((t.documents, "doc_id"), (t.crawl_result, "crawl_id"))))
 
 
 @query("SELECT * FROM (VALUES ('s3', 'https://docs.aws.amazon.com/AmazonS3/latest/userguide/', 0), ('iam', 'https://docs.aws.amazon.com/IAM/latest/UserGuide/', 1)) v(service, url, position)")
@@ -182,6 +181,16 @@ def page_title(spark, sf_dir):
     return Tables(spark, sf_dir).crawl_result.where("html IS NOT NULL").select("crawl_id", F.trim(F.substring_index(full, " - Nimbra", 1)).alias("title"))
 
 
+@query(r"""
+    WITH t AS (SELECT crawl_id, html, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)(?:</title|$)', 1)) AS title FROM crawl_result),
+    h AS (SELECT crawl_id, title, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1) AS h1 FROM t)
+    SELECT crawl_id, CASE WHEN coalesce(title, '') <> '' THEN title ELSE trim(regexp_replace(regexp_replace(coalesce(h1, ''), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) END AS title FROM h
+""")
+def parsed_title(spark, sf_dir):
+    """Titles as the parser of pages gives them: of the head, else of the first heading."""
+    return flatten_html(Tables(spark, sf_dir).spread("crawl_result").select("crawl_id", "html")).select("crawl_id", "title")
+
+
 @query(f"SELECT chunk_id, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '{_TOKEN_SQL}')) END::INTEGER AS tokens FROM chunks")
 def token_count(spark, sf_dir):
     return Tables(spark, sf_dir).chunks.select("chunk_id", X.token_count(F.col("text")).alias("tokens"))
@@ -223,6 +232,30 @@ def overlap_tail(spark, sf_dir):
     return c.select("chunk_id", F.when(follows, X.token_count(X.tail_tokens(before, 50))).otherwise(0).alias("repeated"))
 
 
+@query(rf"""
+    WITH n AS (SELECT chunk_id, document_id, chunk_index, section_path, chunk_type, text FROM chunks WHERE text IS NOT NULL),
+    p AS (SELECT chunk_id, CASE WHEN chunk_type = 'prose' AND lag(chunk_type) OVER w = 'prose' AND lag(section_path) OVER w = section_path THEN lag(text) OVER w END AS before FROM n WINDOW w AS (PARTITION BY document_id ORDER BY chunk_index, chunk_id))
+    SELECT chunk_id, CASE WHEN len(regexp_extract_all(before, '{_TOKEN_SQL}')) <= 50 THEN before ELSE regexp_extract(before, '(?s)(?:(?:{_TOKEN_SQL})[\s\p{{Z}}\x0B\x1C-\x1F\x{{85}}]*){{50}}$') END AS repeated FROM p
+""")
+def overlap_text(spark, sf_dir):
+    """The very text that an overlap of 50 tokens repeats of the chunk before."""
+    w = Window.partitionBy("document_id").orderBy("chunk_index", "chunk_id")
+    c = Tables(spark, sf_dir).chunks.where("text IS NOT NULL")
+    follows = (F.col("chunk_type") == "prose") & (F.lag("chunk_type").over(w) == "prose") & (F.lag("section_path").over(w) == F.col("section_path"))
+    return c.select("chunk_id", F.when(follows, X.tail_tokens(F.lag("text").over(w), 50)).alias("repeated"))
+
+
+@query(rf"""
+    WITH p AS (SELECT chunk_id, trim(text) AS whole, regexp_split_to_array(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM chunks WHERE text IS NOT NULL AND chunk_type = 'prose'),
+    l AS (SELECT chunk_id, whole, s[len(s)] AS last FROM p)
+    SELECT chunk_id, CASE WHEN len(regexp_extract_all(whole, '{_TOKEN_SQL}')) <= 100 THEN whole WHEN len(regexp_extract_all(last, '{_TOKEN_SQL}')) <= 100 THEN last
+                          ELSE regexp_extract(last, '(?s)^(?:[\s\p{{Z}}\x0B\x1C-\x1F\x{{85}}]*(?:{_TOKEN_SQL})){{100}}') END AS context FROM l
+""")
+def context_text(spark, sf_dir):
+    """What a code block would be told about each prose text, were it the paragraph before."""
+    return Tables(spark, sf_dir).chunks.where("text IS NOT NULL AND chunk_type = 'prose'").select("chunk_id", X.context_line(F.col("text")).alias("context"))
+
+
 @query(r"SELECT chunk_id, regexp_extract(text, '^(\[[\s\S]*?\] )', 1) AS header, substring(text, length(regexp_extract(text, '^(\[[\s\S]*?\] )', 1)) + 1) AS body FROM chunks WHERE text IS NOT NULL")
 def header_split(spark, sf_dir):
     header, body = X.split_header(F.col("text"))

@@ -205,6 +205,24 @@ def recall_of_expected(spark, sf_dir):
     return stats.recall_at_k(found, wanted).withColumn("recall", F.round("recall", 6))
 
 
+@query(f"""
+    WITH {REQUESTS_SQL}, {POSTINGS_SQL}, {TERMS_SQL}, {HITS_SQL}, {COVER_SQL},
+    phrased AS (SELECT r.query_id, d.doc_id FROM requests r JOIN documents d ON contains(lower(d.text), lower(r.query)) WHERE trim(coalesce(r.query, '')) <> ''),
+    wanted AS (SELECT DISTINCT p.query_id, c.chunk_id FROM phrased p JOIN chunks c ON c.document_id = p.doc_id),
+    near AS (SELECT query_id, chunk_id FROM ranked_kw WHERE rank <= 5),
+    judged AS (SELECT query_id, max(CASE WHEN n.chunk_id IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM wanted w LEFT JOIN near n USING (query_id, chunk_id) GROUP BY 1)
+    SELECT count(*) AS queries, CAST(coalesce(sum(hit), 0) AS BIGINT) AS hits, round(avg(hit), 6) AS recall FROM judged
+""")
+def keyword_recall_at_5(spark, sf_dir):
+    """Of the requests whose very words some document holds, those that the keyword arm answers with a chunk of such a document."""
+    t = Tables(spark, sf_dir)
+    asked = requests(t)
+    phrased = t.documents.select("doc_id", F.lower("text").alias("low")).join(F.broadcast(asked.where("trim(query) != ''")), F.contains("low", F.lower("query"))).select("query_id", "doc_id")
+    wanted = phrased.join(t.chunks.select(F.col("document_id").alias("doc_id"), F.col("chunk_id").alias("id")), "doc_id").select("query_id", "id").distinct()
+    near = search.keyword_arm(asked, t.chunks, 5, stored_postings(t)).select("query_id", F.col("chunk_id").alias("id"))
+    return stats.recall_at_k(near, materialize(wanted, "wanted")).withColumn("recall", F.round("recall", 6))
+
+
 @query("SELECT chunk_id, document_id FROM chunks WHERE document_id IN (SELECT doc_id FROM documents WHERE service_name = 'queuely')")
 def semi_join_filter(spark, sf_dir):
     t = Tables(spark, sf_dir)

@@ -126,16 +126,52 @@ def cache_ttl_replay(spark, sf_dir):
     return replayed.groupBy("user_id").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
 
 
-@query()
+_REQUESTS_SQL = "e AS (SELECT event_id, user_id, epoch_us(ts) AS us, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL)"
+
+
+@query(f"""
+    WITH RECURSIVE {_REQUESTS_SQL},
+    b AS (
+        SELECT user_id, event_id, us, n, t AS last, 2.0::DOUBLE AS tokens, true AS allowed FROM e WHERE n = 1
+        UNION ALL
+        SELECT user_id, event_id, us, n, last, CASE WHEN tok >= 1 THEN tok - 1 ELSE tok END, tok >= 1
+        FROM (SELECT e.user_id, e.event_id, e.us, e.n, greatest(b.last, e.t) AS last, least(3.0::DOUBLE, b.tokens + greatest(0.0::DOUBLE, e.t - b.last) * (1 / 3600)) AS tok FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1)
+    )
+    SELECT user_id, event_id, us AS ts_us, allowed FROM b
+""")
 def token_bucket(spark, sf_dir):
     log = Tables(spark, sf_dir).events.where("ts IS NOT NULL AND user_id IS NOT NULL")
-    return serving.rate_limit(log, "user_id", "ts", "event_id", rate=1 / 3600, burst=3)
+    limited = serving.rate_limit(log, "user_id", "ts", "event_id", rate=1 / 3600, burst=3)
+    return limited.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "allowed")
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_REQUESTS_SQL},
+    b AS (
+        SELECT user_id, event_id, us, n, t AS now, 2.0::DOUBLE AS tokens, 0.0::DOUBLE AS wait FROM e WHERE n = 1
+        UNION ALL
+        SELECT user_id, event_id, us, n, CASE WHEN tok < 1 THEN begun + (1 - tok) / (1 / 3600) ELSE begun END, CASE WHEN tok < 1 THEN 0.0::DOUBLE ELSE tok - 1 END, CASE WHEN tok < 1 THEN begun + (1 - tok) / (1 / 3600) ELSE begun END - t
+        FROM (SELECT e.user_id, e.event_id, e.us, e.n, e.t, greatest(b.now, e.t) AS begun, least(3.0::DOUBLE, b.tokens + (greatest(b.now, e.t) - b.now) * (1 / 3600)) AS tok FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1)
+    )
+    SELECT user_id, event_id, us AS ts_us, round(wait, 3) AS wait FROM b
+""")
 def crawl_admission(spark, sf_dir):
     log = Tables(spark, sf_dir).events.where("ts IS NOT NULL AND user_id IS NOT NULL")
-    return serving.admission(log, "user_id", "ts", "event_id", rate=1 / 3600, burst=3)
+    admitted = serving.admission(log, "user_id", "ts", "event_id", rate=1 / 3600, burst=3)
+    return admitted.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.round("wait", 3).alias("wait"))
+
+
+@query("""
+    WITH e AS (SELECT event_id, event_type, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+    p AS (SELECT *, lag(n) OVER (PARTITION BY event_type, user_id ORDER BY n) AS prev FROM e),
+    -- other keys asked for since the key's own last request: 20 of them push it out
+    near AS (SELECT a.event_id, count(DISTINCT b.user_id) AS others FROM p a LEFT JOIN p b ON b.event_type = a.event_type AND b.n > a.prev AND b.n < a.n GROUP BY 1)
+    SELECT event_type, e.event_id, prev IS NOT NULL AND others < 20 AS hit FROM p e JOIN near USING (event_id)
+""")
+def cache_lru_replay(spark, sf_dir):
+    """One cache of 20 entries for each type of event, of an age that no entry reaches."""
+    log = Tables(spark, sf_dir).events.where("ts IS NOT NULL AND user_id IS NOT NULL").select("event_type", "user_id", "ts", "event_id")
+    return serving.replay_lru(log, "event_type", "user_id", "ts", "event_id", entries=20, ttl=1e9).select("event_type", "event_id", "hit")
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,16 +13,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fathom.operators import index
 from fathom.operators.chunking import chunk_pages, exploded
-from fathom.operators.embed import embed
+from fathom.operators.embed import HashingEmbedder, embed
 from fathom.operators.serving import BURST, IDLE, RATE, token_bucket
+from fathom.sources.tables import Settings
 
 
-def ingest_batch(store: index.VersionedStore, pages: DataFrame, dim: int = 64) -> int | None:
+def ingest_batch(store: index.VersionedStore, pages: DataFrame, factory=None) -> int | None:
     """One batch of fetched pages into the store: changed pages only, state moved in the same version. None if nothing changed."""
     newest = index.newest(pages.where("url IS NOT NULL").withColumn("content_hash", F.sha2("html", 256)).select("url", "crawled_at", "content_hash", "html", "service_name"), "url", "crawled_at", "content_hash")
     known = store.read("crawl_state", newest)
     fresh = newest if known is None else index.changed(newest, known)
-    parsed = chunk_pages(fresh).where("ok AND size(chunks) > 0").withColumn("doc_id", index.document_id("url")).persist()
+    settings = Settings.of(store.spark)
+    parsed = chunk_pages(fresh, limit=settings.chunk_tokens, overlap=settings.overlap_tokens).where("ok AND size(chunks) > 0").withColumn("doc_id", index.document_id("url")).persist()
     try:
         if not parsed.take(1):
             return None
@@ -29,7 +32,7 @@ def ingest_batch(store: index.VersionedStore, pages: DataFrame, dim: int = 64) -
         documents = parsed.select("doc_id", "url", "service_name", "title", "content_hash", "crawled_at", now.alias("updated_at"))
         chunks = exploded(parsed, "doc_id", "url").withColumn("chunk_id", index.chunk_id()).withColumnRenamed("doc_id", "document_id").drop("url", "title")
         crawled = parsed.select("url", "content_hash", "crawled_at")
-        return index.upsert(store, documents, embed(chunks), crawled.withColumnRenamed("crawled_at", "last_crawled_at"))
+        return index.upsert(store, documents, embed(chunks, factory=factory or functools.partial(HashingEmbedder, settings.vector_dim)), crawled.withColumnRenamed("crawled_at", "last_crawled_at"))
     finally:
         parsed.unpersist()
 

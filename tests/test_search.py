@@ -1,10 +1,15 @@
+import functools
+import http.server
+import json
 import math
+import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fathom.operators import answer, fusion, keyword, search, stats, vector
+from fathom.operators.embed import QUERY_PREFIX, HashingEmbedder, ServiceEmbedder, embed
 
 
 def ranked(spark, ids):
@@ -180,3 +185,58 @@ def test_an_arm_whose_job_fails_leaves_the_other(spark):
     assert [(r.chunk_id, r.vector_rank, r.keyword_rank) for r in rows] == [(1, 1, None)]
     with pytest.raises(RuntimeError):
         search.hybrid(asked.withColumn("vector", F.lit(None).cast("array<float>")), broken, 3, dim=2)
+
+
+def test_best_places_breaks_ties_by_id():
+    rng = np.random.default_rng(2)
+    score, ids = rng.integers(0, 4, (30, 50)).astype(float), rng.permutation(50)
+    score[3] = -np.inf
+    q, d = vector.best_places(score, ids, 6)
+    for row in range(30):
+        want = sorted(range(50), key=lambda c: (-score[row, c], ids[c]))[:6] if row != 3 else []
+        assert d[q == row].tolist() == want
+    assert len(vector.best_places(score[:, :4], ids[:4], 6)[0]) == 29 * 4
+
+
+def test_hashing_embedder_is_lexical():
+    e = HashingEmbedder(64)
+    x = e.encode(["the queue of a role", "The QUEUE, of a role!", "bucket policy", "", None])
+    assert np.allclose(x[0], x[1]) and x[0] @ x[2] < 0.5 and not x[3].any() and not x[4].any()
+    assert np.allclose(np.linalg.norm(x[:3], axis=1), 1) and np.allclose(e.encode(["bucket policy"])[0], x[2])
+    assert e.encode([]).shape == (0, 64)
+
+
+def test_service_embedder(spark):
+    asked, failing = [], [2]
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            text = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["text"]
+            asked.append(text)
+            if text == "busy" and failing[0]:
+                failing[0] -= 1
+                code, body = 503, {}
+            elif text == "bad":
+                code, body = 500, {}
+            else:
+                code, body = 200, {"embedding": [len(text), 1.0], "dimension": 2}
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        make = functools.partial(ServiceEmbedder, f"http://127.0.0.1:{server.server_port}/embed", 2, timeout=5, pause=0.01)
+        assert make().encode(["busy", " ", "ab"]).tolist() == [[4.0, 1.0], [0.0, 0.0], [2.0, 1.0]] and asked.count("busy") == 3
+        assert make().encode(["q"], query=True).tolist() == [[len(QUERY_PREFIX) + 1.0, 1.0]]
+        with pytest.raises(RuntimeError):
+            make().encode(["bad"])
+        df = spark.createDataFrame([(1, "ab"), (2, "bad"), (3, None), (4, "abc")], "id int, text string").coalesce(1)
+        got = {r.id: r.embedding for r in embed(df, factory=make, batch=1).collect()}
+        assert got == {1: [2.0, 1.0], 2: None, 3: None, 4: [3.0, 1.0]}
+    finally:
+        server.shutdown()

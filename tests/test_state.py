@@ -225,3 +225,63 @@ def test_numbered(spark):
     got = index.numbered(df, "a", "b").orderBy("position").collect()
     assert [r.position for r in got] == list(range(1, 51)) and [r.a for r in got] == sorted(r.a for r in got)
     assert index.numbered(df.limit(0), "a").count() == 0
+
+
+def by_hand(rows, rate, burst):
+    """(allowed, wait) of each request of one key, one after the other."""
+    out, tokens, last, queue, now = [], burst, None, burst, None
+    for t in rows:
+        tokens, last = min(burst, tokens + (t - last) * rate) if last is not None else burst, t
+        ok = tokens >= 1
+        tokens -= ok
+        start = t if now is None else max(t, now)
+        queue, now = burst if now is None else min(burst, queue + (start - now) * rate), start
+        if queue < 1:
+            now += (1 - queue) / rate
+            queue = 1.0
+        queue -= 1
+        out.append((ok, round(now - t, 6)))
+    return out
+
+
+def test_folds_over_busy_and_resting_keys(spark):
+    """Logs are cut at rests and come in many batches; keys may be null."""
+    rng = np.random.default_rng(8)
+    rows, n = [], 0
+    for key in ("busy", "calm", None, "late"):
+        t = 0.0
+        for _ in range(400 if key == "busy" else 60):
+            t += float(rng.choice([0.0, 0.25, 0.5] if key == "busy" else [0.0, 0.5, 7.0, 40.0]))
+            rows.append((key, T0 + dt.timedelta(seconds=t), n))
+            n += 1
+    log = spark.createDataFrame(rows, "u string, ts timestamp, id int").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        allowed = {r.id: r.allowed for r in serving.rate_limit(log, "u", "ts", "id", 1.0, 4).collect()}
+        wait = {r.id: r.wait for r in serving.admission(log, "u", "ts", "id", 1.0, 4).collect()}
+        hit = {r.id: r.hit for r in serving.replay_cache(log, "u", "ts", ttl=9.0, order="id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for key in ("busy", "calm", None, "late"):
+        mine = [(i, (ts - T0).total_seconds()) for u, ts, i in rows if u == key]
+        want = by_hand([t for _, t in mine], 1.0, 4)
+        assert [allowed[i] for i, _ in mine] == [ok for ok, _ in want] and [wait[i] for i, _ in mine] == pytest.approx([w for _, w in want])
+        filled = -1e9
+        for i, t in mine:
+            assert hit[i] == (t - filled < 9.0), (key, t)
+            filled = t if not hit[i] else filled
+
+
+def test_lru_replay(spark):
+    rng = np.random.default_rng(9)
+    rows = [("ab"[i % 2], f"k{rng.integers(9)}", T0 + dt.timedelta(seconds=int(i * rng.integers(1, 3))), i) for i in range(300)]
+    log = spark.createDataFrame(rows, "server string, key string, ts timestamp, id int")
+    got = {r.id: r.hit for r in serving.replay_lru(log, "server", "key", "ts", "id", entries=4, ttl=40).collect()}
+    for server in "ab":
+        now = [0.0]
+        cache = serving.TtlCache(4, 40, lambda now=now: now[0])
+        for _, key, ts, i in sorted((r for r in rows if r[0] == server), key=lambda r: (r[2], r[3])):
+            now[0] = (ts - T0).total_seconds()
+            assert got[i] == (cache.get(key) is not None), i
+            if not got[i]:
+                cache.put(key, 1)
