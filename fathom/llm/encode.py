@@ -15,7 +15,9 @@ import base64
 import io
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import cache, lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fathom.llm import kernel
 from fathom.session import materialize, write_shared_file
 
 #: White space as the tokenizer's own pattern has it (the Unicode property), which Python's ``\s`` is not.
 _WHITE = r"\t-\r \x85\xa0  -     　"
-_EMPTY = np.empty(0, np.int32)
+#: Fixed value: the pre-tokenisation pattern that belongs to the public byte-level vocabularies.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that are split at once.
+BLOCK_CHARS = 1 << 20
+_WHITE_KIND, _LETTER, _NUMBER, _OTHER, _MARK = range(5)
 
 
 @lru_cache(maxsize=4)
@@ -47,6 +54,92 @@ def word_pattern(pattern: str):
     return regex.compile(inside)
 
 
+class Split(NamedTuple):
+    """Words of some texts: which text each is of, which of the distinct words it is, and these."""
+
+    doc: np.ndarray
+    which: np.ndarray
+    distinct: list[str]
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """Letter, number, white space or other of each code point; the place after the last one is the mark between texts."""
+    import regex
+
+    table = np.full(0x110001, _OTHER, np.uint8)
+    table[-1] = _MARK
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    code = lambda i: i if i < 0xD800 else i + 0x800
+    for kind, inside in ((_WHITE_KIND, f"[{_WHITE}]+"), (_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+")):
+        for m in regex.finditer(inside, every):
+            table[code(m.start()) : code(m.end() - 1) + 1] = kind
+    return table
+
+
+def split_bytes_pattern(texts: Sequence[str | None]) -> Split:
+    """What ``BYTE_PATTERN`` finds in the texts, by whole-array steps over code points."""
+    parts = [t or "" for t in texts]
+    body = "".join(parts)
+    cp = np.insert(kernel.codepoints(body), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))), 0x110000)
+    kind = _kinds()[cp]
+    mark, white = kind == _MARK, kind == _WHITE_KIND
+    start = mark.copy()
+    start[:1] = True
+    start[1:] |= kind[1:] != kind[:-1]
+    # the last white space before something solid stands by itself, and a blank there leads the word that follows
+    last = white.copy()
+    last[:-1] &= ~(white | mark)[1:]
+    last[-1:] = False
+    start |= last
+    start[1:][last[:-1] & (cp[:-1] == 32)] = False
+    # contractions: an apostrophe that begins a word and stands before these letters
+    at = np.flatnonzero(start & (cp == ord("'")))
+    at = at[kind[at + 1] == _LETTER]
+    one, two = cp[at + 1], cp[np.minimum(at + 2, len(cp) - 1)]
+    is_two = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    is_one = (one == ord("s")) | (one == ord("t")) | (one == ord("m")) | (one == ord("d"))
+    at, length = at[is_one | is_two], np.where(is_two, 2, 1)[is_one | is_two]
+    start[at + 1] = False
+    after = at + 1 + length
+    start[after[kind[after] == _LETTER]] = True
+
+    begin = np.flatnonzero(start)
+    end = np.append(begin[1:], len(cp))
+    solid = ~mark[begin]
+    begin, end = begin[solid], end[solid]
+    doc = np.searchsorted(np.flatnonzero(mark), begin)
+    _, first, which = np.unique(kernel.span_hashes(cp, begin, end), return_index=True, return_inverse=True)
+    # equal hashes are equal words only if their characters are
+    size, head = end - begin, first[which]
+    same = bool((size == size[head]).all())
+    if same:
+        here = np.flatnonzero(~mark)
+        same = bool((cp[here] == cp[here + np.repeat(begin[head] - begin, size)]).all())
+    if not same:
+        return _numbered([body[a:b] for a, b in zip((begin - doc).tolist(), (end - doc).tolist())], doc)
+    return Split(doc, which, [body[a:b] for a, b in zip((begin - doc)[first].tolist(), (end - doc)[first].tolist())])
+
+
+def _numbered(words: list[str], doc: np.ndarray) -> Split:
+    number: dict[str, int] = {}
+    which = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    return Split(doc, which, list(number))
+
+
+def splitter(pattern: str):
+    """The function that splits texts by a pattern: whole arrays for the pattern of the byte-level vocabularies, else regular expressions."""
+    if pattern == BYTE_PATTERN:
+        return split_bytes_pattern
+    find = word_pattern(pattern).findall
+
+    def split(texts: Sequence[str | None]) -> Split:
+        found = [find(t) if t else [] for t in texts]
+        return _numbered(list(chain.from_iterable(found)), np.repeat(np.arange(len(found)), [len(f) for f in found]))
+
+    return split
+
+
 def merge_exact(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Byte pair merges of one word, lowest rank first, leftmost among equals."""
     known = ranks.get(word)
@@ -182,7 +275,7 @@ class Encoder:
     SEEN = 1 << 19
 
     def __init__(self, vocabulary: str, pattern: str, lexicon: Transducer | None) -> None:
-        self.ranks, self.find, self.lexicon = load_ranks(vocabulary), word_pattern(pattern).findall, lexicon
+        self.ranks, self.split, self.lexicon = load_ranks(vocabulary), splitter(pattern), lexicon
         self.seen: dict[str, list[int]] = {}
         self.merge = self._merger()
 
@@ -205,25 +298,31 @@ class Encoder:
             self.seen[w] = self.merge(b) if p < 0 else self.lexicon.output(p)
 
     def encode(self, texts: Sequence[str | None]) -> pa.ListArray:
-        found = [self.find(t) if t else [] for t in texts]
+        found = self.split(texts)
         if len(self.seen) > self.SEEN:
             self.seen.clear()
-        new = set().union(*found).difference(self.seen)
-        if new:
-            self.learn(list(new))
         seen = self.seen
-        lists = [[i for w in ws for i in seen[w]] for ws in found]
-        offsets = np.zeros(len(lists) + 1, np.int32)
-        np.cumsum([len(x) for x in lists], out=offsets[1:])
-        flat = [i for x in lists for i in x]
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+        new = [w for w in found.distinct if w not in seen]
+        if new:
+            self.learn(new)
+        lists = [seen[w] for w in found.distinct]
+        # the ids of each distinct word lie one after the other; each word of a text points to its own
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
+        begin = np.cumsum(size) - size
+        many = size[found.which]
+        place = np.cumsum(many) - many
+        ids = flat[np.arange(int(many.sum())) + np.repeat(begin[found.which] - place, many)]
+        offsets = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum(np.bincount(found.doc, weights=many, minlength=len(texts)).astype(np.int64), out=offsets[1:])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
 
 
 def count_words(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
     """Occurrences of each word over all texts: (word, n). Counted in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, counts = word_pattern(pattern).findall, Counter()
+        split, counts = splitter(pattern), Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
@@ -231,9 +330,11 @@ def count_words(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
             return out
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    counts.update(find(t))
+            texts = batch.column(0).to_pylist()
+            for lo, hi in kernel.blocks(texts, BLOCK_CHARS):
+                found = split(texts[lo:hi])
+                for w, n in zip(found.distinct, np.bincount(found.which, minlength=len(found.distinct)).tolist()):
+                    counts[w] += n
             if len(counts) > 400_000:
                 yield flush()
         yield flush()
@@ -278,8 +379,8 @@ def encode_corpus(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary, pattern, Transducer.map(SparkFiles.get(name)))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part.column(0), encoder.encode(part.column(1).to_pylist())], names=[id_col, "ids"])
+            texts = batch.column(1).to_pylist()
+            for lo, hi in kernel.blocks(texts, BLOCK_CHARS):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), encoder.encode(texts[lo:hi])], names=[id_col, "ids"])
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

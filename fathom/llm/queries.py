@@ -55,11 +55,9 @@ def p5_clean_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fathom.llm.encode import encode_corpus
+    from fathom.llm.encode import BYTE_PATTERN, encode_corpus
 
-    # fixed value: the pre-tokenisation pattern that belongs to this public vocabulary
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return encode_corpus(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", pattern)
+    return encode_corpus(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN)
 
 
 def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -99,3 +100,25 @@ def test_frequent_words_are_bounded(spark):
     assert set(encode.frequent_words(counts, 3)) == {"w4", "w5", "w6"}
     assert set(encode.frequent_words(counts, 2)) == {"w6"}
     assert encode.frequent_words(counts.limit(0), 5) == []
+
+
+PARTS = st.one_of(st.sampled_from(["'s", "'S", "'re", "'ll", "'l", "''s", " '", "' ", "'", "\n", "\r\n", "\t", " ", "  ", "\x00", "\x1c", "\x85", "a", "Ab", "ve", "re", "12", "½", "!", "é", "日", "🎉", "​"]), st.characters())
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(PARTS, max_size=12).map("".join), max_size=5))
+def test_array_split_equals_pattern(texts):
+    assert encode.BYTE_PATTERN == PATTERN
+    texts = [None, *(t.encode("utf-8", "ignore").decode() for t in texts), ""]
+    found = encode.split_bytes_pattern(texts)
+    got = [[] for _ in texts]
+    for d, w in zip(found.doc.tolist(), found.which.tolist()):
+        got[d].append(found.distinct[w])
+    assert got == [encode.word_pattern(PATTERN).findall(t or "") for t in texts]
+
+
+def test_array_split_does_not_trust_hashes(monkeypatch):
+    """Words of equal hashes are told apart by their characters."""
+    monkeypatch.setattr(encode.kernel, "span_hashes", lambda cp, a, b: np.zeros(len(a), np.uint64))
+    found = encode.split_bytes_pattern(["one two", "two one"])
+    assert [found.distinct[w] for w in found.which.tolist()] == ["one", " two", "two", " one"] and found.doc.tolist() == [0, 0, 1, 1]
