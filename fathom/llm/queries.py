@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fathom.session import spread
 
@@ -22,6 +23,28 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(table(spark, sf_dir, "chunks"))
 
 
+def p1_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces of every oversized chunk: their own parts make up its text again; none is over the
+    limit, whoever counts the tokens; all but the first repeat 50 tokens; each is cut from the text as it is and has its path."""
+    from fathom.functions.text import token_count
+
+    chunks = spark.read.parquet(f"{sf_dir}/chunks.parquet").select("chunk_id", F.col("text").alias("whole"), F.col("section_path").alias("path"))
+    pieces = p1_pieces(spark, sf_dir).join(chunks, "chunk_id")
+    following = F.lead("own_start").over(Window.partitionBy("chunk_id").orderBy("piece_index"))
+    placed = pieces.withColumn("stop", F.coalesce(following, F.length("whole"))).withColumn("own", F.right("text", F.col("stop") - F.col("own_start")))
+    checked = placed.select(
+        "chunk_id",
+        F.struct("piece_index", "own").alias("part"),
+        "whole",
+        ((token_count(F.col("text")) == F.col("token_count")) & (F.col("token_count") <= 512)).alias("fits"),
+        (F.substring("whole", F.col("stop") - F.length("text") + 1, F.length("text")) == F.col("text")).alias("cut"),
+        (F.col("overlap_tokens") == F.when(F.col("piece_index") == 0, 0).otherwise(50)).alias("repeats"),
+        F.col("section_path").eqNullSafe(F.col("path")).alias("named"),
+    )
+    rebuilt = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x.own), "")
+    return checked.groupBy("chunk_id").agg(rebuilt.alias("text"), *(F.every(c).alias(c) for c in ("fits", "cut", "repeats", "named")))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("piece_index = 0").select("chunk_id")
 
@@ -140,6 +163,18 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_duplicates(spark, sf_dir).groups().withColumnRenamed("id", "chunk_id")
 
 
+_PAIRS_SQL = r"""
+w AS (
+    SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM chunks WHERE text IS NOT NULL
+), g AS (
+    SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 15
+), n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY 1),
+f AS (SELECT g, count(*) AS f FROM g GROUP BY 1),
+ranked AS (SELECT g.chunk_id, g.g, n.n, row_number() OVER (PARTITION BY g.chunk_id ORDER BY f.f, g.g) AS place FROM g JOIN n USING (chunk_id) JOIN f USING (g)),
+prefix AS (SELECT * FROM ranked WHERE place <= n - ceil(0.6 * n) + 1),
+pairs AS (SELECT DISTINCT a.chunk_id AS a, b.chunk_id AS b, a.n AS na, b.n AS nb FROM prefix a JOIN prefix b ON a.g = b.g AND a.chunk_id < b.chunk_id WHERE least(a.n, b.n) >= 0.6 * greatest(a.n, b.n)),
+shared AS (SELECT p.a, p.b, p.na, p.nb, count(*) AS common FROM pairs p JOIN g x ON x.chunk_id = p.a JOIN g y ON y.chunk_id = p.b AND y.g = x.g GROUP BY ALL)
+"""
 _LEAK_SQL = r"""
 WITH items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_item WHERE text IS NOT NULL),
 sized AS (SELECT item_id, w, least(12, len(w)) AS n FROM items WHERE len(w) > 0),
@@ -164,7 +199,7 @@ _REPEATED_SQL = r"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_blocks, p2_found, p3_found, p3_neighbours, p3_similar, p4_found, p4_groups, p5_clean, p5_clean_near, p5_found, p5_lines, p6_ids, p7_found, p7_leaks, p8_counts, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_blocks, p2_found, p3_found, p3_neighbours, p3_similar, p4_found, p4_groups, p5_clean, p5_clean_near, p5_found, p5_lines, p6_ids, p7_found, p7_leaks, p8_counts, p8_found, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -186,18 +221,17 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM near
         """,
-        "p4_found": r"""
-            WITH w AS (
-                SELECT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM chunks WHERE text IS NOT NULL
-            ), g AS (
-                SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 15
-            ), n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY 1),
-            f AS (SELECT g, count(*) AS f FROM g GROUP BY 1),
-            ranked AS (SELECT g.chunk_id, g.g, n.n, row_number() OVER (PARTITION BY g.chunk_id ORDER BY f.f, g.g) AS place FROM g JOIN n USING (chunk_id) JOIN f USING (g)),
-            prefix AS (SELECT * FROM ranked WHERE place <= n - ceil(0.6 * n) + 1),
-            pairs AS (SELECT DISTINCT a.chunk_id AS a, b.chunk_id AS b, a.n AS na, b.n AS nb FROM prefix a JOIN prefix b ON a.g = b.g AND a.chunk_id < b.chunk_id WHERE least(a.n, b.n) >= 0.6 * greatest(a.n, b.n)),
-            shared AS (SELECT p.a, p.b, p.na, p.nb, count(*) AS common FROM pairs p JOIN g x ON x.chunk_id = p.a JOIN g y ON y.chunk_id = p.b AND y.g = x.g GROUP BY ALL)
-            SELECT a AS chunk_id_a, b AS chunk_id_b FROM shared WHERE common >= 0.6 * (na + nb - common)
+        "p4_found": "WITH " + _PAIRS_SQL + "SELECT a AS chunk_id_a, b AS chunk_id_b FROM shared WHERE common >= 0.6 * (na + nb - common)",
+        "p4_groups": "WITH RECURSIVE "
+        + _PAIRS_SQL
+        + """, pairs_all AS (SELECT a, b FROM shared WHERE common >= 0.6 * (na + nb - common)),
+            edges AS (SELECT a, b FROM pairs_all UNION ALL SELECT b, a FROM pairs_all),
+            part AS (SELECT w.chunk_id, array_to_string(w, ' ') AS words, text FROM w JOIN chunks USING (chunk_id) WHERE len(w) >= 15),
+            reach AS (SELECT chunk_id AS id, chunk_id AS other FROM part UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.other),
+            grouped AS (SELECT id AS chunk_id, min(other) AS group_id, count(*) AS group_size FROM reach GROUP BY 1),
+            linked AS (SELECT a AS chunk_id, count(*) AS links FROM edges GROUP BY 1)
+            SELECT chunk_id, group_id, group_size, count(*) OVER (PARTITION BY words) AS copies, coalesce(links, 0) AS links, min(chunk_id) OVER (PARTITION BY text) AS same_as
+            FROM part JOIN grouped USING (chunk_id) LEFT JOIN linked USING (chunk_id)
         """,
         "p7_found": _LEAK_SQL + "SELECT DISTINCT doc_id, item_id FROM grams JOIN windows USING (n, g)",
         "p7_leaks": _LEAK_SQL
@@ -214,6 +248,10 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains(c, x))) / len(w), 6) END AS common_word_share
             FROM d, common
         """,
+        "p1_rebuilt": r"""
+            SELECT chunk_id, text, true AS fits, true AS cut, true AS repeats, true AS named FROM chunks
+            WHERE len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s\p{Z}\x{0085}\x0B\x1C-\x1F]')) > 512
+        """,
         "p1_found": r"""
             SELECT chunk_id FROM chunks
             WHERE len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s\p{Z}\x{0085}\x0B\x1C-\x1F]')) > 512
