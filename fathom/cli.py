@@ -1,4 +1,4 @@
-"""python -m fathom.cli init|ingest|crawl|stats --store PATH ...: the index from a shell."""
+"""python -m fathom.cli init|demo|ingest|crawl|stats|health --store PATH ...: the index from a shell."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from fathom.operators import crawl, index, stats
 from fathom.schemas import initialize
 from fathom.session import build_session
 from fathom.sources import tables
+from fathom.sources.demo import seed_demo
 from fathom.streaming.ingest import ingest_batch
 
 
@@ -28,7 +29,7 @@ def health(store: index.VersionedStore) -> dict[str, str]:
 
 def main(args: list[str] | None = None) -> dict:
     p = argparse.ArgumentParser(prog="fathom")
-    p.add_argument("command", choices=("init", "ingest", "crawl", "stats", "health"))
+    p.add_argument("command", choices=("init", "demo", "ingest", "crawl", "stats", "health"))
     p.add_argument("--store", required=True)
     p.add_argument("--pages", help="parquet of fetched pages: url, html, service_name, crawled_at")
     p.add_argument("--links", help="parquet of anchors: page_url, href")
@@ -41,6 +42,8 @@ def main(args: list[str] | None = None) -> dict:
     store, began = index.VersionedStore(spark, a.store), time.time()
     if a.command == "init":
         out = {"version": initialize(spark, store)}
+    elif a.command == "demo":
+        out = {"version": seed_demo(store)}
     elif a.command == "health":
         out = health(store)
     elif a.command == "stats":

@@ -15,7 +15,7 @@ SKIP_PATTERNS = (r"/pricing/", r"/api[_-]?ref", r"/APIReference/", r"/release-?n
 SERVICE_PATTERN = r"(?i)docs\.aws\.amazon\.com/(?:Amazon)?(\w+)/"
 #: The first label of a host such as objectvault.docs.example.
 HOST_SERVICE_PATTERN = r"(?i)^https?://([\w-]+)\.docs\."
-#: Services whose url names them otherwise. The last five agree with the ids that service filters use.
+#: Services whose url names them otherwise. The last five agree with the ids that service filters use.
 SERVICE_ALIASES = {
     "amazons3": "s3",
     "amazonec2": "ec2",

@@ -44,7 +44,7 @@ def stored_postings(t: Tables) -> keyword.KeywordIndex:
     key = (spark.sparkContext.applicationId, t.dir, tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)))
     if key not in _indexes:
         parts = max(1, sum(n for _, n, _ in key[2]) // (16 * (64 << 20)))
-        _indexes[key] = keyword.KeywordIndex.write(keyword.postings(t.spread("chunks")), shared_path(spark, "postings"), parts=parts)
+        _indexes[key] = keyword.KeywordIndex.write(keyword.postings(t.spread("chunks")), shared_path(spark, "postings", lasting=True), parts=parts)
     return _indexes[key]
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathom.operators import fusion, keyword, search, stats, vector
+from fathom.operators import ann, fusion, keyword, search, stats, vector
 from fathom.operators.embed import embed
 
 from fathom.plans.common import COVER_SQL, FIXED_SQL, HITS_SQL, HYBRID_SQL, POSTINGS_SQL, REQUESTS_SQL, TERMS_SQL, USABLE_SQL, VECTOR_ARM_SQL, Tables, embedded_requests, query, r6, requests, stored_postings
-from fathom.session import materialize
+from fathom.session import materialize, shared_path
 
 SERVICES = ["objectvault", "funcrunner", "queuely"]
 _SERVICES_SQL = "('objectvault', 'funcrunner', 'queuely')"
@@ -39,6 +39,22 @@ def vector_topk_filtered(spark, sf_dir):
     return vector.top_k(search.filtered(t.chunks, t.documents, SERVICES), _one_vector(t), 10, "chunk_id", "embedding").select("chunk_id", r6(F.col("score"), "score"))
 
 
+@query(f"""
+    WITH v AS (SELECT chunk_id AS id, embedding::DOUBLE[] AS v FROM chunks WHERE {USABLE_SQL}),
+    s AS (SELECT a.id AS query_id, b.id AS id, round(list_inner_product(a.v, b.v), 9) AS score FROM v a CROSS JOIN v b WHERE a.id % 20 = 0 AND b.id % 7 <> 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10
+""")
+def vector_topk_lists(spark, sf_dir):
+    """The neighbours of every chunk whose id is divisible by 20, by lists around centres and with a filter on what may be found."""
+    t = Tables(spark, sf_dir)
+    corpus = t.spread("chunks").select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"))
+    lists = ann.ListedVectors.write(corpus, shared_path(spark, "lists"), 64)
+    asked = corpus.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    found = lists.search(asked, 10, allowed=corpus.where("id % 7 <> 0").select("id"))
+    return found.select("query_id", "id", r6(F.col("score"), "score"), "rank")
+
+
 @query("""
     WITH v AS (SELECT CAST(vec_id AS BIGINT) AS id, embedding::DOUBLE[] AS v FROM embeddings),
     s AS (SELECT a.id AS query_id, b.id AS id, round(list_inner_product(a.v, b.v), 9) AS score FROM v a CROSS JOIN v b WHERE a.id <> b.id),

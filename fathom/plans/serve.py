@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import presentation as P
 from fathom.functions import text as X
-from fathom.operators import answer, search, serving, stats
+from fathom.operators import answer, api, search, serving, stats
 from fathom.plans.common import Tables, embedded_requests, query, r6, requests, stored_postings
 from fathom.streaming.ingest import windowed_counts
 
@@ -289,3 +289,26 @@ def empty_answer(spark, sf_dir):
     one = requests(t).where(F.col("query_id") == 4)
     found = search.fallback(one, t.chunks, 10, stored_postings(t))
     return one.join(found, "query_id", "left_anti").select("query_id", F.lit(answer.NOTHING_FOUND).alias("answer"))
+
+
+_CALLS_SQL = """
+    calls AS (
+        SELECT item_id AS request_id, item_id % 8 AS k, query FROM eval_item
+    ), routed AS (
+        SELECT request_id, k, CASE k WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 404 WHEN 3 THEN 405 WHEN 4 THEN 400 WHEN 5 THEN 400 WHEN 6 THEN 400 ELSE 200 END AS status,
+               CASE k WHEN 2 THEN 'not found' WHEN 3 THEN 'method not allowed' WHEN 4 THEN 'invalid request body' WHEN 5 THEN 'top_k must be between 1 and 20' WHEN 6 THEN 'query is required' END AS error
+        FROM calls
+    )"""
+
+
+@query(f"WITH {_CALLS_SQL} SELECT request_id, CAST(status AS INTEGER) AS status, error, k = 1 AS counted FROM routed")
+def api_responses(spark, sf_dir):
+    """A request of each kind: health, statistics, unknown path, wrong method, broken body, wrong fields, searches."""
+    t = Tables(spark, sf_dir)
+    k = F.col("item_id") % 8
+    path = F.when(k == 0, "/healthz").when(k == 1, "/api/v1/stats").when(k == 2, "/nowhere").otherwise("/api/v1/search")
+    method = F.when(k <= 3, "GET").otherwise("POST")
+    body = F.when(k == 4, "{broken").when(k == 5, F.to_json(F.struct("query", F.lit(21).alias("top_k")))).when(k == 6, F.to_json(F.struct(F.lit("  ").alias("query")))).when(k == 7, F.to_json(F.struct("query", F.lit(3).alias("top_k"))))
+    calls = t.eval_item.select(F.col("item_id").alias("request_id"), F.lit("c").alias("client"), F.timestamp_seconds("item_id").alias("ts"), method.alias("method"), path.alias("path"), body.alias("body"))
+    got = api.responses(calls, t.chunks, t.documents, index=stored_postings(t))
+    return got.select("request_id", "status", F.get_json_object("response", "$.error").alias("error"), F.get_json_object("response", "$.total_documents").isNotNull().alias("counted"))

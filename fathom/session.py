@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,13 +66,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def shared_path(spark: SparkSession, label: str, suffix: str = "") -> str:
-    """A new path below the shared folder, deleted when the driver ends."""
+_passing: list[str] = []
+
+
+def shared_path(spark: SparkSession, label: str, suffix: str = "", lasting: bool = False) -> str:
+    """A new path below the shared folder, deleted when the driver ends, or before, at the end of ``intermediates``, unless it is ``lasting``."""
     path = f"{shared_dir(spark)}/fathom/{label}-{uuid.uuid4().hex}{suffix}"
     atexit.register(_drop, spark, path)
+    if not lasting:
+        _passing.append(path)
     return path
 
 
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that plans made inside it wrote to the shared folder; what they gave must be written by then."""
+    mark = len(_passing)
+    try:
+        yield
+    finally:
+        for path in _passing[mark:]:
+            _drop(spark, path)
+        del _passing[mark:]
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -83,9 +102,9 @@ def _drop(spark: SparkSession, path: str) -> None:
             shutil.rmtree(path[7:], ignore_errors=True)
 
 
-def write_shared_file(spark: SparkSession, label: str, content: bytes, suffix: str = "") -> str:
+def write_shared_file(spark: SparkSession, label: str, content: bytes, suffix: str = "", lasting: bool = False) -> str:
     """Writes bytes to a file in the shared folder and returns its path."""
-    path = shared_path(spark, label, suffix)
+    path = shared_path(spark, label, suffix, lasting)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
@@ -138,6 +157,6 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
         for file in sorted(package.rglob("*.py")):
             z.write(file, file.relative_to(package.parent).as_posix())
-    path = write_shared_file(spark, "package", held.getvalue(), ".zip")
+    path = write_shared_file(spark, "package", held.getvalue(), ".zip", lasting=True)
     spark.sparkContext.addPyFile(path)
     _shipped.add(application)

@@ -25,6 +25,7 @@ STRIP_TAGS = frozenset(("nav", "footer", "script", "style", "noscript", "svg", "
 STRIP_CLASSES = frozenset(
     ("awsdocs-nav", "awsdocs-sidebar", "awsdocs-breadcrumb", "awsdocs-page-header-container", "awsdocs-footer", "feedbackYesNoDiv", "page-loading-indicator", "awsui-app-layout__navigation", "awsui-app-layout__tools")
 )
+#: Classes of notes, names of languages, what titles end with.
 NOTE_CLASSES = frozenset(("awsdocs-note", "awsdocs-warning", "awsdocs-important", "awsdocs-tip", "note", "warning", "important", "tip"))
 LANGUAGES = ("json", "yaml", "xml", "python", "bash", "shell", "java", "go")
 TITLE_SUFFIXES = (" - Amazon", " - AWS", " — Amazon", " — AWS")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators import answer, fusion, keyword, search, stats, vector
+from fathom.operators import ann, answer, api, fusion, keyword, search, stats, vector
 from fathom.operators.embed import QUERY_PREFIX, HashingEmbedder, ServiceEmbedder, embed
 
 
@@ -240,3 +240,53 @@ def test_service_embedder(spark):
         assert got == {1: [2.0, 1.0], 2: None, 3: None, 4: [3.0, 1.0]}
     finally:
         server.shutdown()
+
+
+def test_listed_vectors_find_what_an_exact_search_finds(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8))
+    x = (centres[rng.integers(0, 12, 600)] + rng.normal(size=(600, 8)) * 0.15) * rng.uniform(0.5, 2, (600, 1))
+    x[5] = x[4]
+    bad = [(1000, None), (1001, [1.0]), (1002, [0.0] * 8), (1003, [float("nan")] * 8), (None, x[0].tolist())]
+    corpus = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), *bad], "id long, vector array<float>")
+    lists = ann.ListedVectors.write(corpus, str(tmp_path / "lists"), 8, list_rows=40)
+    asked = corpus.where("id % 9 = 0 OR id > 900").withColumnRenamed("id", "query_id")
+    key = lambda df: sorted((r.query_id, r["rank"], r.id, r.score) for r in df.collect())
+    want = key(vector.top_k_batch(asked, corpus, 6, 8))
+    assert key(lists.search(asked, 6)) == want and len(want) == 67 * 6
+    some = corpus.where("id IN (3, 7, 100)").select("id")
+    assert key(lists.search(asked, 6, some)) == key(vector.top_k_batch(asked, corpus.where("id IN (3, 7, 100)"), 6, 8))
+    none = ann.ListedVectors.write(corpus.limit(0), str(tmp_path / "none"), 8)
+    assert none.search(asked, 6).count() == 0 and lists.search(asked.limit(0), 6).count() == 0
+
+
+def test_api(spark, corpus):
+    documents, chunks = corpus
+    documents = documents.withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    post = lambda i, body, at=0: (i, "a", at, "POST", "/api/v1/search", body)
+    rows = [
+        post(1, '{"query": "bucket policy", "top_k": 1}'), post(2, '{"query": "bucket policy", "services": ["iam"], "stream": true}'), post(3, "{", 1), post(4, None, 1), post(5, '{"query": " "}', 2), post(6, '{"query": "x", "top_k": 0}', 2),
+        (7, "b", 0, "GET", "/api/v1/stats", None), (8, "b", 0, "GET", "/healthz", None), (9, "b", 0, "GET", "/readyz", None), (10, "b", 0, "GET", "/x", None), (11, "b", 0, "DELETE", "/api/v1/stats", None), (12, "c", 0, "GET", "/api/v1/stats", None), (13, "c", 0, "GET", "/api/v1/stats", None), (14, "c", 0, "GET", "/api/v1/stats", None),
+        post(15, '{"query": "zzz qqq", "services": ["none"]}', 9),
+    ]
+    calls = spark.createDataFrame(rows, "request_id long, client string, at int, method string, path string, body string").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    make = functools.partial(HashingEmbedder, 2)
+    got = {r.request_id: r for r in api.responses(calls, embed(chunks, factory=make), documents, 2, make, ready={"index": "ok", "embedder": "down"}, rate=1.0, burst=2).collect()}
+    assert {i: r.status for i, r in got.items()} == {1: 200, 2: 200, 3: 400, 4: 429, 5: 400, 6: 429, 7: 200, 8: 200, 9: 503, 10: 404, 11: 405, 12: 200, 13: 200, 14: 429, 15: 200}
+    one = json.loads(got[1].response)
+    assert one["metadata"]["chunks_found"] == 1 and len(one["citations"]) == 1 and one["answer"].endswith("[1]") and one["metadata"]["model"] == "extractive"
+    assert got[2].content_type == "text/event-stream" and got[2].response.startswith("event: chunk\ndata: ") and got[2].response.endswith("event: done\n\n")
+    assert json.loads(got[3].response) == {"error": "invalid request body"} and json.loads(got[5].response) == {"error": "query is required"} and json.loads(got[4].response) == {"error": "rate limit exceeded"}
+    stats_of = json.loads(got[7].response)
+    assert stats_of["total_chunks"] == chunks.count() and {s["service_name"] for s in stats_of["services"]} == {"s3", "iam"}
+    assert json.loads(got[15].response)["citations"] == [] and json.loads(got[9].response)["embedder"] == "down"
+
+    class Broken:
+        def complete(self, system, user):
+            raise ValueError("no")
+
+    failed = {r.request_id: r for r in api.responses(calls.where("request_id < 3"), embed(chunks, factory=make), documents, 2, make, Broken).collect()}
+    assert failed[1].status == 500 and json.loads(failed[1].response) == {"error": "generation failed"} and failed[2].response.startswith("event: error\n")
+    upstream = spark.createDataFrame([(1, 200, "{}", "application/json"), (2, 500, "broken", "text/plain"), (3, 503, "", None), (4, None, None, None)], "request_id long, status int, response string, content_type string")
+    passed = {r.request_id: (r.status, r.response) for r in api.proxied(upstream).collect()}
+    assert passed == {1: (200, "{}"), 2: (502, '{"error":"broken"}'), 3: (502, '{"error":"Upstream returned 503"}'), 4: (502, '{"error":"Upstream request failed"}')}

@@ -1,4 +1,6 @@
 import datetime as dt
+import hashlib
+import os
 from urllib.parse import urljoin
 
 import numpy as np
@@ -8,7 +10,8 @@ from pyspark.sql import functions as F
 from fathom.operators import crawl, index, serving
 from fathom.plans import ingest as ingest_plans
 from fathom.schemas import initialize
-from fathom.sources import tables
+from fathom.session import intermediates, materialize, shared_path
+from fathom.sources import demo, tables
 from fathom.streaming import ingest
 
 T0 = dt.datetime(2024, 1, 1)
@@ -285,3 +288,23 @@ def test_lru_replay(spark):
             assert got[i] == (cache.get(key) is not None), i
             if not got[i]:
                 cache.put(key, 1)
+
+
+def test_demo(spark, tmp_path):
+    store = index.VersionedStore(spark, f"file://{tmp_path}/store")
+    initialize(spark, store)
+    assert demo.seed_demo(store) == 2 and demo.seed_demo(store) == 3
+    assert store.read("documents").count() == 5 and store.read("chunks").count() == 8
+    row = store.read("documents").where("service_name = 'vpc'").first()
+    texts = [r.text for r in store.read("chunks").where(F.col("document_id") == row.doc_id).orderBy("chunk_index").collect()]
+    assert row.content_hash == hashlib.sha256("".join(texts).encode()).hexdigest()
+    assert store.read("chunks").where("token_count > 0 AND size(embedding) = 64").count() == 8
+
+
+def test_intermediates_are_dropped(spark):
+    with intermediates(spark):
+        path = materialize(spark.range(3), "x").inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0].replace("//", "/")
+        kept = shared_path(spark, "y", lasting=True)
+        spark.range(2).write.parquet(kept)
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path) and spark.read.parquet(kept).count() == 2
