@@ -48,6 +48,19 @@ SPARE = 6
 TASK_BYTES = 8 << 20
 
 
+def _best(score: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the best scores of each row, best first. The scores are overwritten."""
+    keep = min(keep, score.shape[1])
+    if keep > 16:
+        top = np.argpartition(-score, keep - 1, 1)[:, :keep] if keep < score.shape[1] else np.broadcast_to(np.arange(keep), score.shape)
+        return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), 1, kind="stable"), 1)
+    top, rows = np.empty((len(score), keep), np.int64), np.arange(len(score))
+    for k in range(keep):  # a few searches for the maximum cost less than a partition
+        top[:, k] = score.argmax(1)
+        score[rows, top[:, k]] = -np.inf
+    return top
+
+
 def beam_encode(x: np.ndarray, books: list[np.ndarray], beams: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes (n, beams, books) of the best sums found, best first, and their residuals."""
     n, d = x.shape
@@ -56,11 +69,9 @@ def beam_encode(x: np.ndarray, books: list[np.ndarray], beams: int) -> tuple[np.
     for book in books:
         half = 0.5 * (book * book).sum(1)
         gain = left.reshape(-1, d) @ book.T - half  # half the decrease of the squared residual
-        total = gain.reshape(n, left.shape[1], -1) - 0.5 * (left * left).sum(2)[:, :, None]
-        flat = total.reshape(n, -1)
-        keep = min(beams, flat.shape[1])
-        top = np.argpartition(-flat, keep - 1, 1)[:, :keep] if keep < flat.shape[1] else np.broadcast_to(np.arange(keep), (n, keep))
-        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(flat, top, 1), 1, kind="stable"), 1)
+        total = gain.reshape(n, left.shape[1], -1)
+        total -= 0.5 * np.einsum("nbd,nbd->nb", left, left)[:, :, None]
+        top = _best(total.reshape(n, -1), beams)
         parent, word = top // len(book), top % len(book)
         left = np.take_along_axis(left, parent[:, :, None], 1) - book[word]
         codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None].astype(np.int32)], 2)
@@ -96,8 +107,10 @@ class Codebooks:
     def fit(cls, x: np.ndarray, lists: int, seed: int = 7) -> Codebooks:
         rng = np.random.default_rng(seed)
         books = [kmeans(x, lists, rng)]
-        for _ in range(BOOKS):
-            books.append(kmeans(encode_steps(x, books, 1)[1], WORDS, rng, 5))
+        left = encode_steps(x, books, 1)[1]
+        for _ in range(BOOKS):  # a single beam goes on from what the books before left
+            books.append(kmeans(left, WORDS, rng, 5))
+            left = encode_steps(left, books[-1:], 1)[1]
         # joint least squares of the residual codebooks; the lists' centres stay
         for _ in range(2):
             codes = encode_steps(x, books, BEAMS)[0]
@@ -106,7 +119,9 @@ class Codebooks:
             gram, pull = 0.5 * np.eye(BOOKS * WORDS), 0.5 * np.concatenate(books[1:]).astype(np.float64)
             for m in range(BOOKS):
                 mine = codes[:, m + 1].astype(np.int64)
-                np.add.at(pull, m * WORDS + mine, target)
+                order = np.argsort(mine, kind="stable")
+                met = np.flatnonzero(np.bincount(mine, minlength=WORDS))
+                pull[m * WORDS + met] += np.add.reduceat(target[order], np.searchsorted(mine[order], met), 0, np.float64)
                 for n in range(BOOKS):
                     met = np.bincount(mine * WORDS + codes[:, n + 1], minlength=WORDS * WORDS)
                     gram[m * WORDS : (m + 1) * WORDS, n * WORDS : (n + 1) * WORDS] += met.reshape(WORDS, WORDS)
