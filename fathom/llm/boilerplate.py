@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -101,7 +100,7 @@ class Forest:
             return
         stack: list[tuple[str, int]] = [("", root)]
         texts, text_node, text_link = self.texts, self.text_node, self.text_link
-        at, number, link, opened = 0, 0, False, Counter()
+        at, number, link, opened = 0, 0, False, dict.fromkeys(NAMES, 0)
         for m in _TOKEN.finditer(page):
             begin = m.start()
             if begin > at:
@@ -154,12 +153,13 @@ class Forest:
             text_link.append(link)
 
     @staticmethod
-    def _end(stack: list[tuple[str, int]], opened: Counter, ended, stops) -> None:
+    def _end(stack: list[tuple[str, int]], opened: dict[str, int], ended, stops) -> None:
         """Closes the innermost open element of these kinds and all in it, unless one of the others comes first."""
         for i in range(len(stack) - 1, 0, -1):
             name = stack[i][0]
             if name in ended:
-                opened.subtract(t for t, _ in stack[i:])
+                for tag, _ in stack[i:]:
+                    opened[tag] -= 1
                 del stack[i:]
                 return
             if name in stops:
@@ -364,18 +364,24 @@ class Model:
     @staticmethod
     def _logistic(sets: list, rare: np.ndarray, rounds: int, seed: int) -> np.ndarray:
         """Logistic regression over the hashed features, by AdaGrad over blocks of pages."""
-        size = len(rare)
-        weights, square, order = np.zeros(size), np.full(size, 1e-2), np.random.default_rng(seed)
+        # only features that are not rare have a weight: the steps work on these alone
+        kept = np.flatnonzero(~rare)
+        place = np.full(len(rare), len(kept), np.int64)
+        place[kept] = np.arange(len(kept))
+        sets = [(nodes, place[slots], label, use) for nodes, slots, label, use in sets]
+        weights, square, order = np.zeros(len(kept) + 1), np.full(len(kept) + 1, 1e-2), np.random.default_rng(seed)
         for _ in range(rounds):
             for k in order.permutation(len(sets)):
                 nodes, slots, label, use = sets[k]
                 z = np.bincount(nodes, weights=weights[slots], minlength=len(label))
                 error = np.where(use, label - 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0)
-                g = np.bincount(slots, weights=error[nodes], minlength=size) - 0.02 * weights
-                g[rare] = 0
+                g = np.bincount(slots, weights=error[nodes], minlength=len(weights)) - 0.02 * weights
+                g[-1] = 0
                 square += g * g
                 weights += 0.5 * g / np.sqrt(square)
-        return weights
+        out = np.zeros(len(rare))
+        out[kept] = weights[:-1]
+        return out
 
 
 def training_pages(df: DataFrame, html_col: str, limit: int = TRAIN_PAGES, chars: int = TRAIN_TOTAL) -> list[str]:
