@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fathom.plans import common, ingest, retrieval, serve  # noqa: F401
+from fathom.plans import common, ingest, parsing, retrieval, serve  # noqa: F401
 
 
 def queries() -> dict:
