@@ -3,7 +3,8 @@
 Method: additive quantisation. A vector is approximated by a sum of full-dimensional
 codewords, one of each codebook; codes are found by beam search, the codebooks by
 alternating encoding and joint least squares on a bounded sample. The first code names a
-list, however many vectors there are; a vector is stored in the lists of its best beams.
+list, however many vectors there are; a vector is stored in the lists of its best beams,
+which are found among all lists or, of very many, in the nearest groups of lists.
 A query goes to the lists of its best beams; there, tables of its inner products with all
 codewords and the stored norms score the codes, and the best scores are reranked on the
 exact vectors.
@@ -17,6 +18,7 @@ empty tables.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,14 +30,16 @@ from pyspark.sql.window import Window
 
 from fathom.session import exact_unions, materialize
 
-#: Rows that the codebooks are fitted on, at most.
-FIT_ROWS = 1 << 15
+#: Rows that the residual codebooks are fitted on, at most; rows that each list's centre is fitted on, at least, once there are more.
+FIT_ROWS, ROWS_A_LIST = 1 << 15, 8
 #: Rows of the sample that are encoded at once on the driver.
 FIT_STEP = 2048
 #: Residual codebooks and their codewords, beams of the encoder.
 BOOKS, WORDS, BEAMS = 6, 256, 4
 #: Vectors of a list, on average; lists, at most (with more vectors lists grow longer); vectors and queries of one task's block, at most.
-LIST_ROWS, MAX_LISTS, BLOCK_ROWS, BLOCK_QUERIES = 1000, 4096, 8192, 1 << 16
+LIST_ROWS, MAX_LISTS, BLOCK_ROWS, BLOCK_QUERIES = 1000, 1 << 16, 8192, 1 << 16
+#: Lists up to this number are all compared with a vector; of more, those in the groups of lists nearest to it. Groups that are looked into, at least.
+FLAT_LISTS, LEAST_GROUPS = 4096, 16
 #: Bytes of packed queries that ``search`` may broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Lists that a row is stored in; scores that are reranked in each list.
@@ -102,19 +106,35 @@ class Codebooks:
     """``books[0]`` has the lists' centres; the first code names a list."""
 
     books: list[np.ndarray]
+    #: Where there are many lists: centres of groups of them, and where each group's lists begin.
+    groups: np.ndarray | None = None
+    begins: np.ndarray | None = None
 
     @classmethod
     def fit(cls, x: np.ndarray, lists: int, seed: int = 7) -> Codebooks:
         rng = np.random.default_rng(seed)
-        books = [kmeans(x, lists, rng)]
-        left = encode_steps(x, books, 1)[1]
+        groups = begins = None
+        if lists <= FLAT_LISTS:
+            books = [kmeans(x, lists, rng)]
+        else:
+            groups = kmeans(x, math.isqrt(lists), rng)
+            near = encode_steps(x, [groups], 1)[0][:, 0]
+            mine = [x[near == g] for g in range(len(groups))]
+            groups, mine = groups[[len(m) > 0 for m in mine]], [m for m in mine if len(m)]
+            centres = [kmeans(m, max(1, round(lists * len(m) / len(x))), rng, 5) for m in mine]
+            books, begins = [np.concatenate(centres)], np.cumsum([0, *map(len, centres)])
+        made = cls(books, groups, begins)
+        x = x[:FIT_ROWS]  # the sample is in no order that tells
+        own = np.concatenate([made.cells(x[at : at + FIT_STEP], 1)[:, 0] for at in range(0, len(x), FIT_STEP)])
+        inside = x - books[0][own]
+        left = inside
         for _ in range(BOOKS):  # a single beam goes on from what the books before left
             books.append(kmeans(left, WORDS, rng, 5))
             left = encode_steps(left, books[-1:], 1)[1]
         # joint least squares of the residual codebooks; the lists' centres stay
         for _ in range(2):
-            codes = encode_steps(x, books, BEAMS)[0]
-            target = x - books[0][codes[:, 0]]
+            codes = np.concatenate([own[:, None], encode_steps(inside, books[1:], BEAMS)[0]], 1)
+            target = inside
             # which codewords stand together how often, and the sum of the targets that each takes part in
             gram, pull = 0.5 * np.eye(BOOKS * WORDS), 0.5 * np.concatenate(books[1:]).astype(np.float64)
             for m in range(BOOKS):
@@ -127,11 +147,28 @@ class Codebooks:
                     gram[m * WORDS : (m + 1) * WORDS, n * WORDS : (n + 1) * WORDS] += met.reshape(WORDS, WORDS)
             solved = np.linalg.solve(gram, pull)
             books = [books[0], *np.split(solved.astype(np.float32), BOOKS)]
-        return cls(books)
+        made.books = books
+        return made
 
     def cells(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The lists of the best beams of each vector, the best first."""
-        return beam_encode(x, self.books[:1], probes)[0][:, :, 0]
+        if self.groups is None:
+            return beam_encode(x, self.books[:1], probes)[0][:, :, 0]
+        # beams over groups of lists, then over the lists of these groups; each group has one list at least
+        probes = min(probes, len(self.books[0]))
+        group = beam_encode(x, [self.groups], max(LEAST_GROUPS, probes))[0][:, :, 0]
+        score = np.full((*group.shape, probes), -np.inf, np.float32)
+        cell = np.zeros(score.shape, np.int32)
+        order = np.argsort(group, axis=None, kind="stable")
+        met, first = np.unique(group.ravel()[order], return_index=True)
+        for g, places in zip(met.tolist(), np.split(order, first[1:])):
+            row, slot = np.unravel_index(places, group.shape)
+            centres = self.books[0][self.begins[g] : self.begins[g + 1]]
+            near = x[row] @ centres.T - 0.5 * (centres * centres).sum(1)
+            top = _best(near.copy(), probes)
+            cell[row, slot, : top.shape[1]] = self.begins[g] + top
+            score[row, slot, : top.shape[1]] = np.take_along_axis(near, top, 1)
+        return np.take_along_axis(cell.reshape(len(x), -1), _best(score.reshape(len(x), -1), probes), 1)
 
     def encode(self, x: np.ndarray, probes: int, spills: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The best lists of each vector, and for the first ``spills`` of them its codes of the residual codebooks and the norm of the approximation."""
@@ -224,9 +261,10 @@ class VectorIndex:
         if self.has_copies:  # of each group of copies only the head is indexed
             self.alone = self.all.join(self.copies, "same", "left").where("head IS NULL OR id = head").select("id", "same", "vector")
         total = self.total = self.all.count()
+        lists = int(np.clip(total // (list_rows or LIST_ROWS), 1, MAX_LISTS))
+        fit_rows = max(fit_rows, ROWS_A_LIST * lists if lists > FLAT_LISTS else 0)
         share = min(1 << 30, int(fit_rows / max(total, 1) * (1 << 30)))
         sample = self.all.where((F.xxhash64(F.lit("fit"), "id").bitwiseAND((1 << 30) - 1)) <= share).select("vector").limit(fit_rows).toArrow()
-        lists = int(np.clip(total // (list_rows or LIST_ROWS), 1, MAX_LISTS))
         self.probes = max(probes or probes_for(lists), spills)
         self.books = Codebooks.fit(_matrix(sample.column(0), dim), lists) if sample.num_rows else None
         self.indexed = materialize(self._encode(), "indexed")

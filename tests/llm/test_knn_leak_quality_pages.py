@@ -257,3 +257,18 @@ def test_deeply_nested_page():
     assert max(f.depth) == len(x.levels) and sum(map(len, x.levels)) == len(f.parent) - 1
     assert all((x.depth[level] == d + 1).all() for d, level in enumerate(x.levels))
     assert x.leaf.sum() == 1 and len(boilerplate.marginals(x, np.zeros(len(f.parent)), np.zeros((boilerplate.KINDS, boilerplate.KINDS, 2, 2)))) == len(f.parent)
+
+
+def test_groups_of_lists(spark, monkeypatch):
+    """Where there are more lists than are all compared, groups of them lead to the same neighbours."""
+    for name, value in (("WORDS", 64), ("FLAT_LISTS", 20), ("LEAST_GROUPS", 4)):
+        monkeypatch.setattr(knn, name, value)
+    x = np.random.default_rng(12).normal(size=(4000, 24)).astype(np.float32)
+    index = knn.VectorIndex(frame(spark, x), dim=24, list_rows=60)
+    assert index.books.groups is not None and 40 <= len(index.books.books[0]) <= 80
+    cells = index.books.cells(x, index.probes)
+    assert all(len(set(row)) == index.probes for row in cells.tolist())
+    assert index.books.cells(x[:5], 500).shape == (5, len(index.books.books[0]))
+    want = nearest(x, 5)
+    got = {(r.id, r.neighbour) for r in index.similar(5).collect()}
+    assert len(got & want) >= 0.9 * len(want)
