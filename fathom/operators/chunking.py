@@ -7,7 +7,7 @@ packing is a fold over a node's pieces, overlap a fold over the page's chunks.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,12 +122,15 @@ def chunk_nodes(title: str | None, nodes: list, limit: int = MAX_TOKENS, overlap
     return [(i, prefix + body, kind, path, count(prefix + body), meta) for i, (prefix, body, kind, path, meta) in enumerate(out)]
 
 
-def chunk_pages(pages: DataFrame, html_col: str = "html", limit: int = MAX_TOKENS, overlap: int = OVERLAP, sep: str = " ") -> DataFrame:
-    """The pages with (ok, error, title, chunks): parsed and chunked in one Arrow step, each page by itself."""
+def chunk_pages(pages: DataFrame, html_col: str = "html", limit: int = MAX_TOKENS, overlap: int = OVERLAP, sep: str = " ", parser: Callable[[str | None, str], tuple] = flatten_page) -> DataFrame:
+    """The pages with (ok, error, title, chunks): parsed and chunked in one Arrow step, each page by itself.
+
+    ``parser`` makes (ok, error, title, flat nodes) of a page and the string that joins inline elements.
+    """
     kind = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("error", T.StringType()), T.StructField("title", T.StringType()), T.StructField("chunks", T.ArrayType(CHUNK))])
 
     def parse(html: str | None) -> tuple:
-        ok, error, title, nodes = flatten_page(html, sep)
+        ok, error, title, nodes = parser(html, sep)
         try:
             return ok, error, title, [(*c[:5], list(c[5].items())) for c in chunk_nodes(title, nodes, limit, overlap)]
         except Exception as e:  # noqa: BLE001

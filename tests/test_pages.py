@@ -1,4 +1,9 @@
+import http.server
+import threading
+import time
+
 from fathom.operators.chunking import chunk_nodes, chunk_pages, context, count, exploded, prose, run_statistics, table, tail
+from fathom.sources import fetch
 from fathom.sources.html import flatten_html, flatten_page
 
 PAGE = """<html><head><title>Rotate keys - Amazon Key Service</title></head><body><nav><p>menu</p></nav>
@@ -92,3 +97,46 @@ def test_plans(spark):
     assert exploded(chunked, "crawl_id").count() == 7
     assert tuple(run_statistics(chunked).first()) == (1, 2, 0, 7)
     assert chunk_pages(df.limit(0)).count() == 0
+
+
+def test_fetch_keeps_to_its_rate(spark):
+    class Site:
+        def get(self, url):
+            if "bad" in url:
+                raise OSError("unreachable")
+            return 200, "text/html", f"<main><p>{url}</main>"
+
+    urls = spark.createDataFrame([(f"https://h/{i}",) for i in range(6)] + [("https://bad/1",), ("https://h/1",), (None,)], "url string")
+    began = time.monotonic()
+    got = {r.url: (r.status, r.error) for r in fetch.fetch(urls.coalesce(1), Site, rate=5.0, burst=2).collect()}
+    assert time.monotonic() - began >= 4 / 5.0
+    assert got == {f"https://h/{i}": (200, None) for i in range(6)} | {"https://bad/1": (None, "OSError: unreachable")}
+    assert fetch.fetch(urls.limit(0), Site).count() == 0
+
+
+def test_url_fetcher():
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/ok" else 404)
+            self.send_header("Content-Type", "text/html; charset=latin-1")
+            self.end_headers()
+            self.wfile.write("<p>é</p>".encode("latin-1"))
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        assert fetch.UrlFetcher(5).get(base + "/ok") == (200, "text/html; charset=latin-1", "<p>é</p>")
+        assert fetch.UrlFetcher(5).get(base + "/no")[0] == 404
+    finally:
+        server.shutdown()
+
+
+def test_own_parser(spark):
+    df = spark.createDataFrame([(1, "a\nb"), (2, None)], "crawl_id long, html string")
+    lines = lambda html, sep: (True, None, "T", [(i, 1, -1, "paragraph", x, None, None, None, [("T", 0)]) for i, x in enumerate((html or "").split("\n")) if x])
+    got = exploded(chunk_pages(df, parser=lines, overlap=0), "crawl_id").orderBy("chunk_index").collect()
+    assert [r.text for r in got] == ["[T] a", "[T] b"]
