@@ -58,13 +58,13 @@ class KeywordIndex:
 
     def of(self, terms: DataFrame) -> DataFrame:
         """Postings of the terms of a frame (term, ...)."""
-        stored, wanted = self.spark.read.parquet(self.path), terms.select("term").distinct()
-        few = [r.term for r in wanted.limit(self.LITERAL_TERMS + 1).collect()]
+        stored, wanted = self.spark.read.parquet(self.path), terms.select("term", self._bucket().alias("bucket")).distinct()
+        few = wanted.limit(self.LITERAL_TERMS + 1).collect()
         if len(few) > self.LITERAL_TERMS:
-            return stored.join(wanted.withColumn("bucket", self._bucket()), ["bucket", "term"], "left_semi").drop("bucket")
+            return stored.join(wanted, ["bucket", "term"], "left_semi").drop("bucket")
         if not few:
             return stored.limit(0).drop("bucket")
-        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in few], "term string").select(self._bucket()).distinct().collect()]
+        buckets, few = sorted({r.bucket for r in few}), [r.term for r in few]
         return stored.where(F.col("bucket").isin(buckets) & F.col("term").isin(few)).drop("bucket")
 
 

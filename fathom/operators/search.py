@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -52,22 +54,24 @@ def vector_arm(requests: DataFrame, chunks: DataFrame, k: int, dim: int) -> Data
 
 
 def run_arms(requests: DataFrame, chunks: DataFrame, top_k: int, dim: int, index: keyword.KeywordIndex | None = None) -> Arms:
-    """Each arm by itself and to its end, so that an arm that cannot be planned or whose job fails leaves the other alone.
+    """Each arm by itself and to its end, both at the same time, so that an arm that cannot be planned or whose job fails leaves the other alone.
 
     What is written are the over-fetched ranks of each request. Requests without vector take part in the keyword arm only.
     """
-    arms = Arms()
-    try:
-        arms.vector = materialize(vector_arm(requests.where("vector IS NOT NULL"), chunks, OVER_FETCH * top_k, dim), "vector-arm")
-    except Exception as e:  # noqa: BLE001
-        arms.vector_error = e
-    try:
-        arms.keyword = materialize(keyword_arm(requests, chunks, OVER_FETCH * top_k, index), "keyword-arm")
-    except Exception as e:  # noqa: BLE001
-        arms.keyword_error = e
-    if arms.vector is None and arms.keyword is None:
-        raise RuntimeError(f"both arms failed: {arms.vector_error}; {arms.keyword_error}")
-    return arms
+
+    def attempt(make: Callable[[], DataFrame], label: str) -> tuple[DataFrame | None, Exception | None]:
+        try:
+            return materialize(make(), label), None
+        except Exception as e:  # noqa: BLE001
+            return None, e
+
+    with ThreadPoolExecutor(2) as pool:
+        by_vector = pool.submit(attempt, lambda: vector_arm(requests.where("vector IS NOT NULL"), chunks, OVER_FETCH * top_k, dim), "vector-arm")
+        by_keyword = pool.submit(attempt, lambda: keyword_arm(requests, chunks, OVER_FETCH * top_k, index), "keyword-arm")
+        (vectors, vector_error), (keywords, keyword_error) = by_vector.result(), by_keyword.result()
+    if vectors is None and keywords is None:
+        raise RuntimeError(f"both arms failed: {vector_error}; {keyword_error}")
+    return Arms(vectors, keywords, vector_error, keyword_error)
 
 
 def hybrid(requests: DataFrame, chunks: DataFrame, top_k: int, dim: int = 64, index: keyword.KeywordIndex | None = None) -> DataFrame:

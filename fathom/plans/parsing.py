@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from fathom.functions import presentation as P
 from fathom.functions import wire
-from fathom.operators import index, search
+from fathom.operators import answer, index, search
 from fathom.operators.chunking import chunk_pages, exploded, run_statistics
 from fathom.operators.embed import embed
 from fathom.plans.common import FIXED_SQL, VECTOR_ARM_SQL, Tables, embedded_requests, query, r6
@@ -215,3 +215,42 @@ def store_schema(spark, sf_dir):
     store = index.VersionedStore(spark, shared_path(spark, "store"))
     initialize(spark, store)
     return spark.createDataFrame([(name, " ".join(store.read(name).columns)) for name in _COLUMNS], "table string, columns string")
+
+
+_X_SQL = "trim('Text ' || trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')))"
+
+
+@query(f"""
+    WITH x AS (SELECT chunk_id, {_X_SQL} AS x FROM chunks),
+    b AS (
+        SELECT chunk_id, 0 AS place, 'h' AS kind, 'Part ' || chunk_id AS text, NULL AS items, NULL AS lang, 2 AS level FROM x
+        UNION ALL SELECT chunk_id, 1, 'p', x || chr(10) || 'more', NULL, NULL, NULL FROM x
+        UNION ALL SELECT chunk_id, 2, 'ul', NULL, x || '|second', NULL, NULL FROM x
+        UNION ALL SELECT chunk_id, 3, 'ol', NULL, 'first|' || x, NULL, NULL FROM x
+        UNION ALL SELECT chunk_id, 4, 'code', x || chr(10) || chr(10) || '# no head', NULL, 'python', NULL FROM x
+        UNION ALL SELECT chunk_id, 5, 'p', 'end', NULL, NULL, NULL FROM x
+    )
+    SELECT * FROM b
+""")
+def built_blocks(spark, sf_dir):
+    """The blocks of answers built of known parts."""
+    x = F.trim(F.concat(F.lit("Text "), _plain(F.col("text"))))
+    source = F.concat(F.lit("## Part "), F.col("chunk_id").cast("string"), F.lit("\n"), x, F.lit("\nmore\n\n- "), x, F.lit("\n* second\n1. first\n2) "), x, F.lit("\n```python\n"), x, F.lit("\n\n# no head\n```\nend\n"))
+    blocks = Tables(spark, sf_dir).spread("chunks").select("chunk_id", F.posexplode(answer.markdown_blocks(source)).alias("place", "b"))
+    return blocks.select("chunk_id", "place", "b.kind", "b.text", F.array_join("b.items", "|").alias("items"), "b.lang", "b.level")
+
+
+@query(f"""
+    WITH c AS (SELECT document_id, {_X_SQL} AS x, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, chunk_id) AS n FROM chunks),
+    a AS (SELECT document_id, string_agg(x || ' [' || n || ']', chr(10) ORDER BY n) AS answer FROM c WHERE n <= 3 GROUP BY 1)
+    SELECT doc_id AS query_id, coalesce(answer, 'No matching documentation was found for this question.') AS answer, true AS ok FROM documents LEFT JOIN a ON document_id = doc_id
+""")
+def extractive_answers(spark, sf_dir):
+    """Prompts of each document's chunks, answered by their leading sentences."""
+    t = Tables(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index", "chunk_id"))
+    x = F.concat(F.lit("[Path] "), F.trim(F.concat(F.lit("Text "), _plain(F.col("text")))))
+    named = t.documents.select(F.col("doc_id").alias("query_id"), "url", "title", "service_name")
+    ranked = t.chunks.select(F.col("document_id").alias("query_id"), place.alias("rank"), x.alias("text"), "section_path").join(named, "query_id")
+    asked = t.documents.select(F.col("doc_id").alias("query_id"), F.coalesce("title", F.lit("")).alias("query"))
+    return answer.answer(answer.prompts(ranked, asked)).select("query_id", "answer", "ok")
