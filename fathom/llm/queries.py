@@ -113,6 +113,14 @@ def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "word_count", F.round("mean_word_length", 6).alias("mean_word_length"), F.round("common_word_share", 6).alias("common_word_share"))
 
 
+def p8_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other statistics that SQL can count too."""
+    from fathom.llm.quality import document_statistics
+
+    counted = document_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_word"))
+    return counted.select("doc_id", F.round("symbol_ratio", 6).alias("symbol_ratio"), F.round("punct_line_share", 6).alias("punct_line_share"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_stats(spark, sf_dir).where("text_type = 'other'").select("doc_id")
 
@@ -199,7 +207,7 @@ _REPEATED_SQL = r"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_blocks, p2_found, p3_found, p3_neighbours, p3_similar, p4_found, p4_groups, p5_clean, p5_clean_near, p5_found, p5_lines, p6_ids, p7_found, p7_leaks, p8_counts, p8_found, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_blocks, p2_found, p3_found, p3_neighbours, p3_similar, p4_found, p4_groups, p5_clean, p5_clean_near, p5_found, p5_lines, p6_ids, p7_found, p7_leaks, p8_counts, p8_found, p8_ratios, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -241,6 +249,13 @@ def oracle_sql() -> dict[str, str]:
             covered AS (SELECT doc_id, item_id, count(DISTINCT word) / any_value(words) AS covered FROM (SELECT doc_id, item_id, words, unnest(range(i, i + n)) AS word FROM met) GROUP BY 1, 2)
             SELECT doc_id, item_id, windows, covered FROM counted JOIN covered USING (doc_id, item_id)
         """,
+        "p8_ratios": r"""
+            WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\r\n|\r|\x{2028}|\x{85}', chr(10), 'g') AS text FROM documents),
+            s AS (SELECT doc_id, regexp_replace(text, '[\s\p{Z}\x0B\x1C-\x1F]', '', 'g') AS solid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\s\p{Z}\x0B\x1C-\x1F]')) AS lines FROM d)
+            SELECT doc_id, CASE WHEN solid <> '' THEN round(length(regexp_replace(solid, '[\p{L}\p{N}]', '', 'g')) / length(solid), 6) END AS symbol_ratio,
+                   CASE WHEN solid <> '' THEN round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…。！？][\s\p{Z}\x0B\x1C-\x1F"'')\]”’»」』*]*$'))) / len(lines), 6) END AS punct_line_share
+            FROM s
+        """,
         "p8_counts": r"""
             WITH common AS (SELECT list(DISTINCT lower(trim(word))) AS c FROM common_word WHERE trim(word) <> ''),
             d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents)
