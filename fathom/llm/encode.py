@@ -384,3 +384,16 @@ def encode_corpus(df: DataFrame, vocabulary: str, pattern: str, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), encoder.encode(texts[lo:hi])], names=[id_col, "ids"])
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+
+
+def decode_corpus(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id, text): the texts that lists of token ids spell out; null lists give null. Narrow."""
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = {i: b for b, i in load_ranks(vocabulary).items()}
+        for batch in batches:
+            texts = [None if ids is None else b"".join(map(piece.__getitem__, ids)).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+
+    return df.select(id_col, ids_col).mapInArrow(run, schema)

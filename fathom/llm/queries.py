@@ -83,6 +83,13 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_PATTERN)
 
 
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that the ids spell out again."""
+    from fathom.llm.encode import decode_corpus
+
+    return decode_corpus(p6_ids(spark, sf_dir), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fathom.llm.leak import leaked_windows
 
@@ -207,7 +214,7 @@ _REPEATED_SQL = r"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_blocks, p2_found, p3_found, p3_neighbours, p3_similar, p4_found, p4_groups, p5_clean, p5_clean_near, p5_found, p5_lines, p6_ids, p7_found, p7_leaks, p8_counts, p8_found, p8_ratios, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_blocks, p2_found, p3_found, p3_neighbours, p3_similar, p4_found, p4_groups, p5_clean, p5_clean_near, p5_found, p5_lines, p6_decoded, p6_ids, p7_found, p7_leaks, p8_counts, p8_found, p8_ratios, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -241,6 +248,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT chunk_id, group_id, group_size, count(*) OVER (PARTITION BY words) AS copies, coalesce(links, 0) AS links, min(chunk_id) OVER (PARTITION BY text) AS same_as
             FROM part JOIN grouped USING (chunk_id) LEFT JOIN linked USING (chunk_id)
         """,
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p7_found": _LEAK_SQL + "SELECT DISTINCT doc_id, item_id FROM grams JOIN windows USING (n, g)",
         "p7_leaks": _LEAK_SQL
         + """, places AS (SELECT item_id, n, len(w) AS words, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i : i + n - 1], ' '))) AS g FROM sized),

@@ -86,6 +86,8 @@ def test_encode_equals_library(spark, reference):
     got = {r.doc_id: r.ids for r in encode.encode_corpus(df.drop("ids"), VOCABULARY, PATTERN, lexicon_size=4).collect()}
     assert got == {i: reference.encode_ordinary(t or "") for i, t in rows}
     assert encode.encode_corpus(df.limit(0), VOCABULARY, PATTERN).count() == 0
+    lists = spark.createDataFrame([*got.items(), (-1, None)], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in encode.decode_corpus(lists, VOCABULARY).collect()} == {i: t or "" for i, t in rows} | {-1: None}
 
 
 @settings(max_examples=100, deadline=None)
