@@ -214,7 +214,7 @@ _REPEATED_SQL = r"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_blocks, p2_found, p3_found, p3_neighbours, p3_similar, p4_found, p4_groups, p5_clean, p5_clean_near, p5_found, p5_lines, p6_decoded, p6_ids, p7_found, p7_leaks, p8_counts, p8_found, p8_ratios, p8_stats)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_rebuilt, p2_blocks, p2_found, p3_found, p3_neighbours, p3_similar, p4_found, p4_groups, p5_clean, p5_clean_near, p5_found, p5_lines, p6_ids, p6_decoded, p7_found, p7_leaks, p8_counts, p8_found, p8_ratios, p8_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
