@@ -289,3 +289,18 @@ def chunk_pages(spark, sf_dir):
 @query()
 def run_statistics(spark, sf_dir):
     return statistics(chunk(Tables(spark, sf_dir).spread("crawl_result").select("crawl_id", "html")))
+
+
+@query(f"""
+    WITH u AS (SELECT doc_id, url, regexp_extract(url, '^[^?#]*', 0) AS bare FROM documents WHERE url IS NOT NULL),
+    k AS (SELECT doc_id, bare, unnest(range(5)) AS kind FROM u WHERE regexp_matches(bare, '^[a-z]+://[^/]+/[^/]+/'))
+    SELECT doc_id, CAST(kind AS INTEGER) AS kind, CASE WHEN kind = 4 THEN {_normal("bare || '?v=2'")} ELSE {_normal('bare')} END AS url FROM k
+""")
+def link_resolve(spark, sf_dir):
+    """Links to each document's own page, written from its root, whole, beside it, from the folder above and as a query."""
+    bare = F.regexp_extract("url", "^[^?#]*", 0)
+    docs = Tables(spark, sf_dir).documents.where("url IS NOT NULL").select("doc_id", bare.alias("bare")).where(F.col("bare").rlike("^[a-z]+://[^/]+/[^/]+/"))
+    path, last, two = (F.regexp_extract("bare", p, 1) for p in ("^[a-z]+://[^/]+(/.*)$", "([^/]*)$", "([^/]+/[^/]*)$"))
+    written = F.array(path, F.concat("bare", F.lit("#part")), F.concat(F.lit("./"), last), F.concat(F.lit("../"), two), F.lit("?v=2"))
+    links = docs.select("doc_id", "bare", F.posexplode(written).alias("kind", "href"))
+    return links.select("doc_id", "kind", U.normalize(U.resolve("bare", "href")).alias("url"))
