@@ -9,9 +9,9 @@ letters are the same, in order and without regard to case, are one line; a sourc
 distinct lines are what is clustered, so that a line in a million documents is one node.
 Of two lines of a bucket the more frequent one may lead the other, if the sets of their
 masked pairs of words are similar (``similar``); a leader joins no other line: clusters
-are stars, whatever lies between them. Buckets of very many lines are led by their most
-frequent one and cut by further hashes, in rounds, until they hold fewer. Lines of few words of their own (``PLAIN``) or mostly of masks say too
-little and stay by themselves.
+are stars, whatever lies between them. Buckets of very many lines are cut by their lines'
+rarest pairs of words, which parts no two similar lines. Lines of few words of their own
+(``PLAIN``) or mostly of masks say too little and stay by themselves.
 
 Defined results: records of null or empty text, without source or whose document is not
 there take no part; lines under ``min_letters`` letters are left alone; a line counts once
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fathom.llm import kernel
 from fathom.llm.neardup import signatures
@@ -39,8 +40,8 @@ MIN_DOCUMENTS, MIN_LETTERS = 5, 12
 BANDS, ROWS = 10, 5
 #: Least similarity of a line to its cluster's leader; least number of unmasked words of a line that joins others.
 SIMILAR, PLAIN = 0.8, 4
-#: Buckets of more nodes are not paired off.
-PAIRED = 256
+#: Buckets of more nodes are cut and led in rounds before they are paired off; rounds go on while one leaves no more than this share of the pairs.
+PAIRED, PAYS = 256, 0.9
 #: Keys of shared buckets are broadcast up to this number (16 bytes each); beyond it they are joined by shuffle.
 BROADCAST_KEYS = 1 << 20
 MASK = np.uint64(0x5DEECE66D1234567)
@@ -172,57 +173,81 @@ def with_bands(nodes: DataFrame) -> DataFrame:
 def star_clusters(nodes: DataFrame, similar: float, paired: int = PAIRED) -> DataFrame:
     """(node, cluster): which leader each node of nodes (node, rank, grams, bands) joined; nodes that joined none are left out.
 
-    Buckets of more than ``paired`` nodes are not paired off: the node of the highest rank leads; nodes that lead all
-    such buckets of theirs are leaders for good, the others join the most similar of these, if it is similar enough, or
-    stay for the next round without what is placed. Buckets that are still so full are cut by one more minhash each
-    round, so that their number of rounds grows as the logarithm of their lines. In the buckets that are left all pairs are verified, and of two similar nodes the one of the higher rank leads the other, unless it joined a leader itself.
+    Nodes are linked if they share a bucket and are similar enough. A node leads if no linked node of higher rank does;
+    every other node joins the most similar of the linked leaders of higher rank (of equally similar ones that of the
+    greater id). Nothing of this depends on ``paired``, which only says how links are found: in buckets of up to so
+    many nodes all pairs are verified. Larger ones are cut losslessly first (``_cut``). Then, in rounds, nodes that stand
+    first in all their buckets lead for good, and the nodes linked to them are taken out, so that very many variants of
+    one line are never paired off with each other. Where rounds take out little, all pairs of what is left are verified.
     """
     exact_unions(nodes.sparkSession)
-    joined: list[DataFrame] = []
     in_band = nodes.select("node", "rank", F.explode("bands").alias("band"))
-    buckets = materialize(in_band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "line-buckets")
-    shared = materialize(in_band.join(_small(buckets), "band"), "line-shared")
+    counts = materialize(in_band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "line-buckets")
+    shared = materialize(in_band.join(_small(counts.select("band")), "band"), "line-shared")
     # from here on only nodes that share a bucket count
     sharing = materialize(shared.select("node").distinct(), "line-sharing")
     grams = materialize(nodes.select("node", "grams").join(_small(sharing), "node", "left_semi"), "line-grams")
+    leaders: list[DataFrame] = []
+    gone: list[DataFrame] = []
+    full = counts.where(F.col("n") > paired).select("band")
+    if full.take(1):
+        shared = materialize(_cut(shared, full, grams, similar), "line-cut")
+    whole, before = shared, None
     while True:
-        full = shared.groupBy("band").agg(F.max_by("node", "rank").alias("lead"), F.count("*").alias("n")).where(F.col("n") > paired)
-        edges = materialize(shared.join(full, "band").where("node != lead").select("node", "lead").distinct(), "line-edges")
-        if not edges.take(1):
+        sizes = shared.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > paired)
+        pairs = sizes.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] if before is not None or full.take(1) else None
+        if not pairs or before is not None and pairs > PAYS * before:
             break
-        free = edges.join(edges.select(F.col("node").alias("lead")).distinct(), "lead", "left_anti")
-        best = _similar(free, grams, similar).groupBy("node").agg(F.max(F.struct("similarity", "lead")).alias("best"))
-        found = materialize(best.select("node", F.col("best.lead").alias("cluster")), "line-members")
-        joined.append(found)
-        placed = materialize(found.select("node").unionByName(free.select(F.col("lead").alias("node")).distinct()), "line-placed")
-        shared = materialize(shared.join(placed, "node", "left_anti"), "line-shared")
-        # what is still too full is cut by one more hash: lines that are unlike part after a few rounds
-        still = materialize(shared.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > paired).select("band"), "line-full")
-        if still.take(1):
-            met = shared.join(still, "band", "left_semi").select("node").distinct()
-            one_more = F.array_min(F.transform("grams", lambda g, r=len(joined): F.xxhash64(g, F.lit(r))))
-            parts = grams.join(met, "node", "left_semi").select("node", one_more.alias("part"))
-            cut = shared.join(still.withColumn("full", F.lit(True)), "band", "left").join(parts, "node", "left")
-            shared = materialize(cut.select("node", "rank", F.when(F.col("full"), F.xxhash64("band", "part")).otherwise(F.col("band")).alias("band")), "line-shared")
-
-    a, b = (shared.select("band", F.col("node").alias(n), F.col("rank").alias(f"{n}_rank")) for n in ("node", "lead"))
-    pairs = a.join(b, "band").where(F.struct("lead_rank", "lead") > F.struct("node_rank", "node")).select("node", "lead").distinct()
-    links = materialize(_similar(pairs, grams, similar), "line-links")
+        before = pairs
+        first = shared.groupBy("band").agg(F.max(F.struct("rank", "node")).alias("first")).select("band", F.col("first.node").alias("lead"))
+        edges = materialize(shared.join(first, "band").where("node != lead").select("node", "lead").distinct(), "line-edges")
+        free = materialize(edges.join(edges.select(F.col("node").alias("lead")).distinct(), "lead", "left_anti").select("node", "lead"), "line-free")
+        leaders.append(free.select(F.col("lead").alias("node")).distinct())
+        gone.append(materialize(_similar(free, grams, similar).select("node").distinct(), "line-gone"))
+        shared = materialize(shared.join(leaders[-1].unionByName(gone[-1]), "node", "left_anti"), "line-shared")
+
+    linked = materialize(_similar(_pairs(shared, shared), grams, similar), "line-links")
+    links = linked
     while links.take(1):
-        best = links.join(links.select(F.col("node").alias("lead")).distinct(), "lead", "left_anti").groupBy("node").agg(F.max(F.struct("similarity", "lead")).alias("best"))
-        found = materialize(best.select("node", F.col("best.lead").alias("cluster")), "line-members")
-        joined.append(found)
-        gone = found.select("node")
-        links = materialize(links.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "lead"), "lead", "left_anti"), "line-links")
-    if not joined:
+        leaders.append(materialize(links.select(F.col("lead").alias("node")).join(links.select("node"), "node", "left_anti").distinct(), "line-leaders"))
+        led = materialize(links.join(leaders[-1].withColumnRenamed("node", "lead"), "lead", "left_semi").select("node").distinct(), "line-led")
+        links = materialize(links.join(led, "node", "left_anti").join(led.withColumnRenamed("node", "lead"), "lead", "left_anti"), "line-links")
+    if not leaders:
         return nodes.select("node", F.col("node").alias("cluster")).limit(0)
-    return functools.reduce(DataFrame.unionByName, joined)
+    lead = functools.reduce(DataFrame.unionByName, leaders)
+    linked = linked.join(lead.withColumnRenamed("node", "lead"), "lead", "left_semi").select("node", "lead", "similarity")
+    if gone:
+        # what the rounds took out may be more like leaders that were found later
+        out = materialize(functools.reduce(DataFrame.unionByName, gone), "line-gone")
+        linked = linked.unionByName(_similar(_pairs(whole.join(out, "node", "left_semi"), whole.join(lead, "node", "left_semi")), grams, similar))
+    return linked.groupBy("node").agg(F.max(F.struct("similarity", "lead")).alias("best")).select("node", F.col("best.lead").alias("cluster"))
+
+
+def _cut(shared: DataFrame, full: DataFrame, grams: DataFrame, similar: float) -> DataFrame:
+    """(node, rank, band) of shared, with the buckets ``full`` cut by the rarest grams of their nodes.
+
+    Of two sets that are similar enough, each has one of the other's among its ``size - similar * size + 1`` rarest grams,
+    so that the two meet again in a part of each bucket that they shared.
+    """
+    met = shared.join(full, "band", "left_semi")
+    held = materialize(grams.join(met.select("node").distinct(), "node", "left_semi").select("node", F.size("grams").alias("size"), F.explode("grams").alias("gram")), "line-held")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("n", "gram"))
+    rarest = held.join(held.groupBy("gram").agg(F.count("*").alias("n")), "gram").withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similar - 1e-6) + 1)
+    parts = met.join(rarest.select("node", "gram"), "node").select("node", "rank", F.xxhash64("band", "gram").alias("band"))
+    return shared.join(full, "band", "left_anti").select("node", "rank", "band").unionByName(parts)
+
+
+def _pairs(some: DataFrame, leads: DataFrame) -> DataFrame:
+    """(node, lead): nodes of some (node, rank, band) with those of leads that share a bucket and are of higher rank."""
+    a, b = (x.select("band", F.col("node").alias(n), F.col("rank").alias(f"{n}_rank")) for x, n in ((some, "node"), (leads, "lead")))
+    return a.join(b, "band").where(F.struct("lead_rank", "lead") > F.struct("node_rank", "node")).select("node", "lead").distinct()
 
 
 def _similar(pairs: DataFrame, grams: DataFrame, similar: float) -> DataFrame:
     """(node, lead, similarity) of the pairs (node, lead) whose sets of grams (node, grams) are similar enough."""
     both = pairs.select("node", "lead").join(grams, "node").join(grams.select(F.col("node").alias("lead"), F.col("grams").alias("other")), "lead")
-    both = both.where(F.least(F.size("grams"), F.size("other")) >= similar * F.greatest(F.size("grams"), F.size("other")))
+    # products of the bound are not exact: 0.8 x 35 is a little over 28
+    both = both.where(F.least(F.size("grams"), F.size("other")) + 1e-6 >= similar * F.greatest(F.size("grams"), F.size("other")))
     both = both.withColumn("common", F.size(F.array_intersect("grams", "other")))
     return both.withColumn("similarity", F.col("common") / (F.size("grams") + F.size("other") - F.col("common"))).where(F.col("similarity") >= similar).select("node", "lead", "similarity")
 

@@ -176,3 +176,47 @@ def test_many_variants_join_one_leader(spark):
     assert {r.node: r.cluster for r in lines.star_clusters(nodes, 0.8).collect()} == {i: 0 for i in range(1, 300)}
     unlike = spark.createDataFrame([(i, i, list(range(100 * i, 100 * i + 20)), [1]) for i in range(3000)], nodes.schema)
     assert lines.star_clusters(unlike, 0.8, 20).count() == 0  # ends soon, though none joins any
+
+
+def _stars(rows, similar):
+    """Brute force over all pairs that share a bucket."""
+    order = sorted(rows, key=lambda r: (-r[1], -r[0]))
+    like = lambda a, b: len(set(a[2]) & set(b[2])) / len(set(a[2]) | set(b[2]))
+    lead, joined = [], {}
+    for r in order:
+        near = [(like(r, x), x[0]) for x in lead if set(r[3]) & set(x[3]) and like(r, x) >= similar]
+        if near:
+            joined[r[0]] = max(near)[1]
+        else:
+            lead.append(r)
+    return joined
+
+
+def test_full_buckets_lose_no_pair(spark):
+    """200 pairs of similar lines in one bucket, each unlike all others and unlike the most frequent line."""
+    rows = [(0, 9999, list(range(40)), [1])]
+    for i in range(200):
+        own = [1000 + 40 * i + j for j in range(40)]
+        rows += [(1 + 2 * i, 500 + i, own, [1]), (2 + 2 * i, i, [*own[:36], *(100_000 + 4 * i + j for j in range(4))], [1])]
+    rows += [(5000, 10_001, list(range(-100, -65)), [2]), (5001, 10_000, list(range(-100, -72)), [2])]  # 28 of 35: 0.8
+    nodes = spark.createDataFrame(rows, "node long, rank long, grams array<int>, bands array<long>")
+    want = {2 + 2 * i: 1 + 2 * i for i in range(200)} | {5001: 5000}
+    assert _stars(rows, 0.8) == want
+    for paired in (4, 1000):
+        assert {r.node: r.cluster for r in lines.star_clusters(nodes, 0.8, paired).collect()} == want, paired
+
+
+def test_stars_do_not_depend_on_how_buckets_are_paired(spark):
+    """Variants of a few lines over several buckets: leaders of other buckets, later rounds and all pairs come to the same."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(240):
+        base, drift = int(rng.integers(0, 5)), int(rng.integers(0, 14))
+        own = [100 * base + drift + j for j in range(30)]
+        rows.append((i, int(rng.integers(0, 60)), [*own, *(int(x) for x in rng.integers(5000, 5040, rng.integers(0, 3)))], sorted({int(x) for x in rng.integers(0, 4, 2)} | {10 + base})))
+    rows = [(n, r, sorted(set(g)), b) for n, r, g, b in rows]
+    nodes = spark.createDataFrame(rows, "node long, rank long, grams array<int>, bands array<long>")
+    want = _stars(rows, 0.8)
+    assert len(want) > 150
+    for paired in (3, 40, 1000):
+        assert {r.node: r.cluster for r in lines.star_clusters(nodes, 0.8, paired).collect()} == want, paired
